@@ -368,3 +368,53 @@ class TextEncoder:
 
     def _plain(self, run: bytes) -> tuple[int, ...]:
         return self._runs([run])[0]
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, kind: str) -> TextEncoder:
+    """The encoder of a vocabulary file, one for each Python worker. kind: prefix or merge."""
+    vocab = vocabulary(path)
+    return TextEncoder(vocab, (PrefixEncoder(vocab) if kind == "prefix" else MergeEncoder(vocab)).many)
+
+
+def tokenised(docs, path: str, kind: str = "prefix"):
+    """docs with ids (array of int) and decoded (the text that the ids decode to)."""
+    import pyarrow as pa
+
+    from skerry.llm.textops import append, column_bytes
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        encode = encoder(path, kind)
+        ids, edges = encode(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
+        decoded = [encode.vocab.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string())]
+
+    return append(docs, "ids array<int>, decoded string", run)
+
+
+def digests(docs, path: str, kind: str = "prefix"):
+    """docs with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256, computed
+    where the ids are, which therefore never leave the Python worker."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from skerry.llm.textops import append, column_bytes
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        encode = encoder(path, kind)
+        decimal = _decimals(len(encode.vocab.bytes))
+        ids, edges = encode(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
+        n, of_ids, of_text = np.diff(edges), [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = ids[a:b].tolist()
+            of_ids.append(hashlib.sha256(b",".join(map(decimal.__getitem__, own))).hexdigest())
+            of_text.append(hashlib.sha256(encode.vocab.decode(own).decode("utf-8", "replace").encode()).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)]
+
+    return append(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+
+
+@lru_cache(maxsize=2)
+def _decimals(n: int) -> list[bytes]:
+    return [str(i).encode() for i in range(n)]
