@@ -10,9 +10,11 @@ All work is linear in the documents and bands:
 1. equal sets form classes, and one document stands for each;
 2. in every bucket of a band each member is compared with the smallest one
    (a star), and confirmed links are joined to components;
-3. only where a bucket still holds several components are the pairs between
-   different components looked at, in blocks of bounded size, and those whose
-   signatures agree enough are confirmed too. No pair is dropped by a cap.
+3. all that the stars join, confirmed or not, is a family, so that every pair
+   sharing a bucket is within one. Only where a family still holds several
+   components are pairs between the largest one and the rest, and within the
+   rest, looked at: in blocks of bounded size, on full sets. A block returns
+   at most one edge a member. No pair is dropped by a cap.
 
 With the default of 32 bands of 4 values two sets of similarity 0.8 miss each
 other in all bands with probability 5e-8.
@@ -76,18 +78,17 @@ def _sign(width: int, hashes: int, rows: int):
                 sets = shingle_sets(*column_bytes(part.column("text")), width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 n = pa.array([len(s) for s in sets], pa.int64())
-                bands, sketch = [None] * len(sets), [None] * len(sets)
+                bands = [None] * len(sets)
                 c1, c2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
                 if full:
                     sig = signature([sets[i] for i in full], multipliers)
                     keys = np.stack([hash_rows([sig[:, b + r] for r in range(rows)]) for b in range(0, sig.shape[1] - rows + 1, rows)], axis=1).view(np.int64)
-                    low = (mix64(sig) & U64(255)).astype(np.uint8)
                     for x, i in enumerate(full):
-                        bands[i], sketch[i] = keys[x], low[x].tobytes()
+                        bands[i] = keys[x]
                         s = sets[i]
                         c1[i] = np.bitwise_xor.reduce(mix64(s)).view(np.int64)
                         c2[i] = np.add.reduce(mix64(s ^ U64(0x5DEECE66D))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(c1), pa.array(c2), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(c1), pa.array(c2), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "c1", "c2", "bands"])
 
     return run
 
@@ -160,80 +161,96 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _between(least: float):
-    """Pairs of different components within a block of a bucket whose sketches agree in enough bytes."""
-
-    def block(rows) -> tuple[np.ndarray, np.ndarray]:
-        ids, labels, side, sketches = rows
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out_a, out_b = [], []
-        for i in left.tolist():
-            other = right[labels[right] != labels[i]]
-            if len(other):
-                agree = (sketches[other] == sketches[i]).mean(axis=1)
-                hit = other[agree >= least]
-                out_a.append(np.minimum(ids[i], ids[hit]))
-                out_b.append(np.maximum(ids[i], ids[hit]))
-        return np.concatenate(out_a) if out_a else ids[:0], np.concatenate(out_b) if out_b else ids[:0]
+def _closed(percent: int):
+    """For each block of a family: which members the links on full sets connect, as one edge a member."""
+
+    def block(ids: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(ids)
+        sizes = np.array([len(s) for s in sets], np.float64)
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+        shared = counts[inverse] > 1  # the others are in no intersection
+        column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
+        owner = owner[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((n, n), np.float64)
+        width = 4096
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            i, j = np.searchsorted(column, [lo, lo + width])
+            there = np.zeros((n, width), np.float32)
+            there[owner[i:j], column[i:j] - lo] = 1
+            both += there @ there.T
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        np.fill_diagonal(linked, True)
+        label = np.arange(n)
+        while True:
+            low = np.where(linked, label[None, :], n).min(axis=1)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        far = np.flatnonzero(label != np.arange(n))
+        ids = np.array(ids)
+        return ids[label[far]], ids[far]
 
     def run(batches):
-        now, held = None, []
+        now, ids, sets = None, [], []
 
         def done():
-            a, b = block((np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.stack([np.frombuffer(h[3], np.uint8) for h in held])))
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+            a, b = block(ids, sets)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("band", "block", "rep", "label", "side", "sketch")]
-            for band, blk, rep, label, side, sketch in zip(*cols, strict=True):
-                if (band, blk) != now and held:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("family", "block", "rep")), batch.column("items"), strict=True)
+            for family, blk, rep, items in rows:
+                if (family, blk) != now and ids:
                     yield done()
-                    held = []
-                now = (band, blk)
-                held.append((rep, label, side, sketch))
-        if held:
+                    ids, sets = [], []
+                now = (family, blk)
+                ids.append(rep)
+                sets.append(np.frombuffer(items.as_py(), np.uint64))
+        if ids:
             yield done()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 64, rows: int = 4, part: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 64, rows: int = 4, part: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
-    width: words in a shingle. percent: the least similarity of a link. part: members of a bucket in a block.
+    width: words in a shingle. percent: the least similarity of a link. part: members of each side of a block.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_sign(width, hashes, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch binary"))
+    signed = cut(docs.mapInArrow(_sign(width, hashes, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"))
     real = signed.where("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # one document for each class, with its bands
     reps = real.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     members = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("i", "key")).select("rep", F.xxhash64("i", "key").alias("band"))
-    sizes = members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low != high")
-    buckets = cut(members.join(sizes, "band").select("band", "rep", "low", "n"))
-    stars = cut(buckets.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
-    sets = sets_of(docs, buckets.select("rep").distinct(), width)
+    sizes = members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
+    stars = cut(members.join(sizes, "band").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
+    sets = sets_of(docs, stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), width)
     links = confirmed(stars, sets, percent)
     labels = components(links)
 
-    # buckets that still hold several components
-    tagged = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    tagged = cut(tagged)
-    split = tagged.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
-    open_ = tagged.join(split, "band", "left_semi")
-    # a bucket of n members makes ceil(n / part) parts, and each pair of parts is a block
-    parts = F.ceil(F.col("n") / part).cast("int")
-    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    blocks = open_.select("band", "rep", "label", parts.alias("k"), own.alias("own")).select("band", "rep", "label", "k", "own", F.explode(F.expr("sequence(0, k - 1)")).alias("other"))
-    blocks = blocks.select("band", "rep", "label", (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("block"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    sketches = reps.select(F.col("doc_id").alias("rep"), "sketch")
-    spread = blocks.join(sketches, "rep").repartition("band", "block").sortWithinPartitions("band", "block")
-    rest = spread.mapInArrow(_between(0.55 - (80 - percent) / 100), "a long, b long").distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(confirmed(rest, sets, percent))
-        labels = components(links)
+    # families are what the stars join, confirmed or not: every pair that shares a bucket is in one family
+    families = components(stars).select(F.col("node").alias("rep"), F.col("label").alias("family"))
+    tagged = families.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("label", "rep").alias("label"))
+    parties = tagged.groupBy("family", "label").agg(F.count("*").alias("n"))
+    open_ = parties.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    # pairs of the largest component and the rest, and within the rest, in blocks of a part of each
+    size = lambda n: F.greatest(F.ceil(n / part), F.lit(1)).cast("int")
+    rows = tagged.join(open_, "family").select("family", "rep", (F.col("label") == F.col("most")).alias("main"), size(F.col("n_most")).alias("km"), size(F.col("n") - F.col("n_most")).alias("kr"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("km")).otherwise(F.col("kr"))).cast("int"))
+    across = rows.select("family", "rep", "main", "kr", "own", F.explode(F.expr("sequence(0, if(main, kr, km) - 1)")).alias("other"))
+    across = across.select("family", "rep", F.when(F.col("main"), F.col("own") * F.col("kr") + F.col("other")).otherwise(F.col("other") * F.col("kr") + F.col("own")).alias("block"))
+    within = rows.where("not main and kr > 1").select("family", "rep", "kr", "own", F.explode(F.expr("sequence(0, kr - 1)")).alias("other")).where("own != other")
+    within = within.select("family", "rep", (-1 - (F.least("own", "other") * F.col("kr") + F.greatest("own", "other"))).alias("block"))
+    blocks = across.unionByName(within).join(sets.withColumnRenamed("id", "rep"), "rep")
+    spread = blocks.repartition("family", "block").sortWithinPartitions("family", "block")
+    more = cut(spread.mapInArrow(_closed(percent), "a long, b long"))
+    labels = components(links.union(more))
 
     same = real.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     groups = same.join(labels, F.col("rep") == F.col("node"), "left").select("c1", "c2", "n_shingles", F.coalesce("label", "rep").alias("component"))
