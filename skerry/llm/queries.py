@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, neardup, packing, passages, pii, toxicity
+from skerry.llm import bpe, licenses, neardup, packing, passages, pii, toxicity
 from skerry.llm.textops import read_table
 
 
@@ -34,6 +34,11 @@ def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, b"a key for tests").select("doc_id", "text", "pii_kinds", "n_pii")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("text")
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, vocabulary_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -52,6 +57,7 @@ def op10_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_feistel_pii": op3_feistel_pii,
+    "op4_license_scan": op4_license_scan,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_super_kmers": op8_super_kmers,
     "op9_toxicity": op9_toxicity,
