@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import BLOCK, LOWER, U64, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, run_starts, slices
+from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, run_starts, slices
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -93,9 +93,10 @@ def _sign(width: int, hashes: int, rows: int):
     return run
 
 
-def _set_rows(width: int):
+def _set_rows(width: int, wanted: IdFilter):
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.may_hold(batch.column("doc_id"))))
             for part in slices(batch, most=2 * BLOCK):
                 sets = shingle_sets(*column_bytes(part.column("text")), width)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
@@ -125,9 +126,8 @@ def _confirm(percent: int):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, items: the packed shingle sets of the documents whose ids wanted (rep) holds."""
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"])
-    return cut(texts.mapInArrow(_set_rows(width), "id long, items binary"))
+    """id, items: the packed shingle sets of the documents whose ids wanted holds, and a few others."""
+    return cut(docs.mapInArrow(_set_rows(width, IdFilter(wanted)), "id long, items binary").dropDuplicates(["id"]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,8 +260,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one with the smallest id. Documents without words stay."""
-    found = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("doc_")).distinct()
-    names = [f"`{c}`" for c in docs.columns]
-    alone = docs.where("doc_id is null")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("doc_"), "left_semi").dropDuplicates(["doc_id"]).select(*names).union(alone.select(*names))
+    """One document of each component: the one with the smallest id. Documents without words or id stay.
+
+    Rows that share an id are one document and stay or go together. Only rows whose id may be among
+    those that go are shuffled.
+    """
+    gone = cut(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone_")).distinct())
+    bits = IdFilter(gone)
+    asked = bits.rows(docs, "doc_id", True).join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+    return bits.rows(docs, "doc_id", False).union(asked)

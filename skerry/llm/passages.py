@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import BLOCK, NOT_SPACE, U64, column_bytes, find_words, hash_rows, hash_spans, mix64, run_starts, slices
+from skerry.llm.textops import BLOCK, NOT_SPACE, U64, IdFilter, append, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, run_starts, slices
 
 CHUNK = 8 * BLOCK
 _Q = 0x5851F42D4C957F2D
@@ -273,9 +273,11 @@ def repeated(docs: DataFrame, k: int = 20, m: int = 4, bucket_mb: int = 12) -> D
 
 def dedup(docs: DataFrame, k: int = 20, m: int = 4) -> DataFrame:
     """docs with kept (the words that no removed window covers, joined by one space), n_words and n_removed."""
-    found = repeated(docs, k, m)
-    names = [f"`{c}`" for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
-    joined = docs.select(*names, F.col("doc_id").cast("long").alias("doc_"), F.xxhash64("text").alias("key_")).join(found.hint("shuffle_hash"), ["doc_", "key_"], "left")
+    found = cut(repeated(docs, k, m))
+    bits = IdFilter(found.select("doc_"))
+    keys = docs.withColumns({"doc_": F.col("doc_id").cast("long"), "key_": F.xxhash64("text")})
+    none = bits.rows(keys, "doc_", False).withColumn("found", F.lit(None).cast("array<binary>"))
+    joined = bits.rows(keys, "doc_", True).join(found.hint("shuffle_hash"), ["doc_", "key_"], "left").select(*none.columns)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         kept, n_words, n_removed = [], [], []
@@ -291,9 +293,8 @@ def dedup(docs: DataFrame, k: int = 20, m: int = 4) -> DataFrame:
             kept.append(b" ".join(words))
         return [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
 
-    from skerry.llm.textops import append
-
-    return append(joined, "kept string, n_words long, n_removed long", run, keep=[c for c in docs.columns])
+    fields, names = "kept string, n_words long, n_removed long", list(docs.columns)
+    return append(none, fields, run, keep=names).union(append(joined, fields, run, keep=names))
 
 
 def digest(text: bytes) -> str:

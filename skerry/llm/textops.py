@@ -191,3 +191,48 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 * BLOCK) -
     _, offsets = column_bytes(batch.column(i))
     for a, b in blocks(offsets, most):
         yield batch.slice(a, b - a)
+
+
+class IdFilter:
+    """A bitmap of hashed ids, of a bounded size, that tells ids which can't be in a set from those that may be.
+
+    It spares the rows that a join wouldn't touch their shuffle. Its size follows the number of ids up to
+    2 ** most bits (8 MB); beyond, it lets more rows through, which the exact join then handles.
+    """
+
+    def __init__(self, ids: DataFrame, most: int = 26):
+        name = ids.columns[0]
+        n = ids.count()
+        self.bits = min(most, max(16, (16 * n).bit_length()))
+        words = ids.where(f"`{name}` is not null").select(ids[name].cast("long").alias("id")).mapInArrow(self._build, "word long, bits long")
+        self.table = np.zeros(1 << (self.bits - 6), np.uint64)
+        if n:
+            rows = words.groupBy("word").agg({"bits": "bit_or"}).toArrow()  # at most 2 ** (most - 6) rows
+            self.table[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+
+    def _place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = mix64(ids.astype(np.int64).view(np.uint64)) >> U64(64 - self.bits)
+        return (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63))
+
+    def _build(self, batches):
+        table = np.zeros(1 << (self.bits - 6), np.uint64)
+        for batch in batches:
+            word, bit = self._place(batch.column(0).to_numpy())
+            np.bitwise_or.at(table, word, bit)
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(table[used].view(np.int64))], ["word", "bits"])
+
+    def may_hold(self, column: pa.Array) -> np.ndarray:
+        """Nulls are never held."""
+        word, bit = self._place(column.fill_null(0).to_numpy(zero_copy_only=False))
+        return ((self.table[word] & bit) != 0) & column.is_valid().to_numpy(zero_copy_only=False)
+
+    def rows(self, df: DataFrame, column: str, held: bool) -> DataFrame:
+        """The rows of df whose id may be held, or those whose id can't be."""
+
+        def run(batches):
+            for batch in batches:
+                own = batch.column(batch.schema.get_field_index(column)).cast(pa.int64())
+                yield batch.filter(pa.array(self.may_hold(own) == held))
+
+        return df.mapInArrow(run, df.schema)

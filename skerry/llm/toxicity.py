@@ -137,10 +137,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     n = bad + good + 2
     part = lambda x, row, col: x * F.log(x * n / (row * col))
     g2 = 2 * (part(a, a + b, bad + 1) + part(b, a + b, good + 1) + part(c, c + d, bad + 1) + part(d, c + d, good + 1))
-    seen = counts.where("term != '' and bad >= 3").select("term", g2.alias("g2"), F.log(a / b).alias("odds"))
+    seen = counts.where("term != '' and bad >= 3").select("term", "bad", g2.alias("g2"), F.log(a / b).alias("odds"))
     tried = seen.count()
     found = seen.where((F.col("g2") >= 2 * math.log(max(tried, 1)) + 3) & (F.col("odds") >= math.log(4)))
-    top = {r["term"]: r["odds"] for r in found.orderBy(F.desc("g2"), "term").limit(most).collect()}
+    rows = found.orderBy(F.desc("g2"), "term").limit(most).collect()
+    # of stems found in the same documents the longest
+    support = {r["term"]: r["bad"] for r in rows}
+    shadowed = {t[:k] for t in support for k in range(4, len(t)) if support.get(t[:k], 0) and support[t] >= 0.95 * support[t[:k]]}
+    top = {r["term"]: r["odds"] for r in rows if r["term"] not in shadowed}
     for term in sorted(top, key=len):  # a longer stem adds nothing to one of its beginnings that is as telling
         if not any(term[:k] in weights and weights[term[:k]] >= top[term] - 0.7 for k in range(4, len(term))):
             weights[term] = max(weights.get(term, 0.0), top[term])
