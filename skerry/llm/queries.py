@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import ann, bpe, licenses, neardup, packing, passages, pii, toxicity
+from skerry.llm import ann, bpe, licenses, lm, neardup, packing, passages, pii, toxicity
 from skerry.llm.textops import read_table
 
 
@@ -39,6 +39,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).drop("text")
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=100)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_feistel_pii": op3_feistel_pii,
     "op4_license_scan": op4_license_scan,
+    "op5_deleted_interpolation": op5_deleted_interpolation,
     "op6_cross_polytope": op6_cross_polytope,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_super_kmers": op8_super_kmers,
