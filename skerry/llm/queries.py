@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import ann, bpe, licenses, lm, neardup, packing, passages, pii, toxicity
+from skerry.llm import ann, bpe, licenses, lm, neardup, packing, passages, pii, toxicity, webp
 from skerry.llm.textops import read_table
 
 
@@ -28,6 +28,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return webp.media(docs, keep_media=False).drop("text")
+
+
 def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key is a fixed one here, so that the result can be compared; a deployment passes its own."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +69,7 @@ def op10_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_lossless_webp": op2_lossless_webp,
     "op3_feistel_pii": op3_feistel_pii,
     "op4_license_scan": op4_license_scan,
     "op5_deleted_interpolation": op5_deleted_interpolation,
