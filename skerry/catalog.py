@@ -4,7 +4,375 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skerry.functions import metrics as M
+from skerry.operators import evaluate, exact, graph, quantize
+from skerry.operators.index import BuildParams, Index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+DIM, K = 64, 10
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def base(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty query vectors."""
+    return base(spark, sf).where("id < 20").select(F.col("id").alias("qid"), F.col("vec").alias("qv"))
+
+
+def knn8(spark: SparkSession, sf: str) -> DataFrame:
+    """src, dst, rank, dist: the exact graph of the eight nearest others."""
+    b = base(spark, sf)
+    near = exact.blocked_knn(b.select(F.col("id").alias("qid"), F.col("vec").alias("qv")), b, 9).where("qid != id")
+    order = Window.partitionBy("qid").orderBy("dist", "id")
+    return near.withColumn("rank", F.row_number().over(order)).where("rank <= 8").select(F.col("qid").alias("src"), F.col("id").alias("dst"), "rank", "dist")
+
+
+# SQL fragments
+def _fold(a: str, b: str, f: str) -> str:
+    return f"list_sum(list_transform(list_zip({a},{b}), lambda z: {f}))"
+
+
+def sq(a: str, b: str) -> str:
+    return _fold(a, b, "(z[1]::double-z[2]::double)*(z[1]::double-z[2]::double)")
+
+
+def dp(a: str, b: str) -> str:
+    return _fold(a, b, "z[1]::double*z[2]::double")
+
+
+QE, BE = "q.embedding", "b.embedding"
+PAIRS = "embeddings q cross join embeddings b where q.vec_id < 20"
+GRAPH = f"""g as (select src,dst,rank,dist from (select q.vec_id src,b.vec_id dst,{sq(QE, BE)} dist,row_number() over (partition by q.vec_id order by {sq(QE, BE)}, b.vec_id) rank
+ from embeddings q join embeddings b on q.vec_id != b.vec_id) where rank <= 8)"""
+
+
+def knn_sql(d: str, k: int = K) -> str:
+    return f"""select qid, id, cast(rn as bigint) as "rank", round(dist,6) as dist from (select q.vec_id qid, b.vec_id id, {d} dist, row_number() over (partition by q.vec_id order by {d}, b.vec_id) rn from {PAIRS}) where rn <= {k}"""
+
+
+def _out(df: DataFrame) -> DataFrame:
+    return df.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("dist", 6).alias("dist"))
+
+
+def _pairs(metric: str):
+    return lambda spark, sf: exact.pairs(asked(spark, sf), base(spark, sf), metric).select("qid", "id", F.round("dist", 6).alias("dist"))
+
+
+for _name, _metric, _sql in (("d1_l2sq_pairs", "l2sq", sq(QE, BE)), ("d5_mips_pairs", "mips", "-" + dp(QE, BE)), ("d13_cosine_pairs", "cosine", f"1.0-{dp(QE, BE)}/(sqrt({dp(QE, QE)})*sqrt({dp(BE, BE)}))")):
+    QUERIES[_name] = _pairs(_metric)
+    SQL[_name] = f"select q.vec_id qid, b.vec_id id, round({_sql},6) dist from {PAIRS}"
+
+
+@query(f"select q.p_partkey qid, b.p_partkey id, ((({'+'.join(f'(q.x{i}-b.x{i})*(q.x{i}-b.x{i})' for i in range(3))}))::bigint >> 8) as dist, ({'+'.join(f'(q.x{i}-b.x{i})*(q.x{i}-b.x{i})' for i in range(3))})::bigint as full_dist from (select p_partkey, p_size::bigint x0, p_partkey%251 x1, p_partkey*7%251 x2 from part where p_partkey <= 20) q cross join (select p_partkey, p_size::bigint x0, p_partkey%251 x1, p_partkey*7%251 x2 from part) b")
+def d2_d4_integer_pairs(spark, sf):
+    v = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 251, F.col("p_partkey") * 7 % 251).alias("v"))
+    q = v.where("p_partkey <= 20").select(F.col("p_partkey").alias("qid"), F.col("v").alias("qv"))
+    both = v.crossJoin(F.broadcast(q))
+    return both.select("qid", F.col("p_partkey").alias("id"), M.l2sq_u16(F.col("qv"), F.col("v")).alias("dist"), M.l2sq(F.col("qv"), F.col("v")).cast("long").alias("full_dist"))
+
+
+@query("select vec_id id, label from embeddings where vec_id < 100")
+def dt2_crop(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 100").select(F.col("vec_id").alias("id"), "label")
+
+
+@query("select s.i, b.vec_id from (select range i from range(200)) s join (select vec_id, row_number() over (order by vec_id)-1 r, count(*) over () n from embeddings) b on (s.i*2654435761+7*40503)%2147483647%b.n = b.r")
+def dt3_sample(spark, sf):
+    b = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
+    n = b.count()  # ids are dense here, so that the position is the id
+    drawn = spark.range(200).select(F.col("id").alias("i"), (graph.arithmetic_hash(F.col("id"), 7) % n).alias("vec_id"))
+    return drawn.join(b, "vec_id").select("i", "vec_id")
+
+
+@query(f"select id, pos, round(x,6) x from (select vec_id id, unnest(range(1,65)) pos, unnest(list_transform(embedding, lambda x: x::double/sqrt({dp('embedding', 'embedding')}))) x from embeddings)")
+def dt4_normalize(spark, sf):
+    v = base(spark, sf).select("id", F.posexplode(M.normalised(F.col("vec"))).alias("p", "x"))
+    return v.select("id", (F.col("p") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query(knn_sql(sq(QE, BE)))
+def ex1_knn_l2(spark, sf):
+    return _out(exact.knn(asked(spark, sf), base(spark, sf), K))
+
+
+@query(knn_sql("-" + dp(QE, BE)))
+def ex1_knn_mips(spark, sf):
+    return _out(exact.knn(asked(spark, sf), base(spark, sf), K, "mips"))
+
+
+@query(knn_sql(sq(QE, BE)))
+def d15_knn_blocked(spark, sf):
+    return _out(exact.blocked_knn(asked(spark, sf), base(spark, sf), K))
+
+
+@query(f"select q.vec_id qid, b.vec_id id, round({sq(QE, BE)},6) dist from {PAIRS} and {sq(QE, BE)} <= 1.4")
+def ex2_range(spark, sf):
+    return exact.within(asked(spark, sf), base(spark, sf), 1.4).select("qid", "id", F.round("dist", 6).alias("dist"))
+
+
+@query(f"select 2*count(*) n_pairs from embeddings q join embeddings b on q.vec_id < b.vec_id where {sq(QE, BE)} <= 1.4")
+def ex3_pair_count(spark, sf):
+    b = base(spark, sf)
+    return _all_within(b, 1.4).agg((2 * F.count("*")).alias("n_pairs"))
+
+
+def _all_within(b: DataFrame, radius: float) -> DataFrame:
+    """Unordered pairs within a radius, the whole table against itself."""
+    q = b.select(F.col("id").alias("qid"), F.col("vec").alias("qv"))
+    return exact.pairs(q, b).where((F.col("qid") < F.col("id")) & (F.col("dist") <= radius))
+
+
+@query(f"select q.vec_id qid, count(*) n from embeddings q join embeddings b on q.vec_id != b.vec_id where {sq(QE, BE)} <= 1.2 group by 1")
+def rs8_range_self_join(spark, sf):
+    near = _all_within(base(spark, sf), 1.2)
+    return near.select("qid").union(near.select("id")).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@query(f"select vec_id qid from embeddings where vec_id < 20 and vec_id in (select q.vec_id from embeddings q join embeddings b on q.vec_id != b.vec_id where q.vec_id < 20 and {sq(QE, BE)} <= 1.2)")
+def snk5_nonempty(spark, sf):
+    q = asked(spark, sf)
+    return exact.non_empty(q, exact.within(q, base(spark, sf), 1.2).where("qid != id")).select("qid")
+
+
+_LOHI = "p as (select least(0,min(x)) lo, greatest(0,max(x)) hi from (select unnest(embedding)::double x from embeddings))"
+
+
+@query(f"with {_LOHI} select round(255/(hi-lo),6) slope, round(lo*(255/(hi-lo))) as off from p")
+def qz1_params(spark, sf):
+    q = quantize.Scalar.fit(base(spark, sf))
+    return spark.range(1).select(F.round(F.lit(q.slope), 6).alias("slope"), F.lit(q.offset).alias("off"))
+
+
+@query(f"with {_LOHI} select vec_id id, pos, greatest(0,least(255,round(x*(255/(hi-lo)))-round(lo*(255/(hi-lo)))))::int code from (select vec_id, unnest(range(1,65)) pos, unnest(embedding)::double x from embeddings), p")
+def qz1_codes(spark, sf):
+    b = base(spark, sf)
+    return b.select("id", F.posexplode(quantize.Scalar.fit(b).transform(F.col("vec"))).alias("p", "code")).select("id", (F.col("p") + 1).cast("long").alias("pos"), "code")
+
+
+@query(f"with {_LOHI} select vec_id id, pos, greatest(-127,least(127,round(x*(127/greatest(hi,-lo)))))::int code from (select vec_id, unnest(range(1,65)) pos, unnest(embedding)::double x from embeddings), p")
+def qz2_codes(spark, sf):
+    b = base(spark, sf)
+    return b.select("id", F.posexplode(quantize.Symmetric.fit(b).transform(F.col("vec"))).alias("p", "code")).select("id", (F.col("p") + 1).cast("long").alias("pos"), "code")
+
+
+@query(f"with {_LOHI} select round(127/greatest(hi,-lo),6) scale from p")
+def qz2_params(spark, sf):
+    return spark.range(1).select(F.round(F.lit(quantize.Symmetric.fit(base(spark, sf)).scale), 6).alias("scale"))
+
+
+_RANKED = "r as (select x, row_number() over (order by x)-1 rk, count(*) over () n from (select unnest(embedding)::double x from embeddings))"
+
+
+@query(f"with {_RANKED}, c as (select greatest((select x from r where rk=cast(floor(0.7*n) as bigint)), -(select x from r where rk=cast(floor(0.3*n) as bigint))) c) select vec_id id, sum(case when x>c then 1 when x < -c then -1 else 0 end)::bigint total, sum(case when x>c or x < -c then 1 else 0 end)::bigint used from (select vec_id, unnest(embedding)::double x from embeddings), c group by 1")
+def qz3_ternary(spark, sf):
+    b = base(spark, sf)
+    code = quantize.Ternary.fit(b).transform(F.col("vec"))
+    total = lambda f: F.aggregate(F.transform(code, f), F.lit(0).cast("long"), lambda s, x: s + x)
+    return b.select("id", total(lambda x: x).alias("total"), total(F.abs).alias("used"))
+
+
+@query("select vec_id id, sum(case when x>0 then 1 else 0 end)::bigint n_set from (select vec_id, unnest(embedding) x from embeddings) group by 1")
+def qz4_bits(spark, sf):
+    words = quantize.Bits().transform(F.col("vec"), DIM)
+    return base(spark, sf).select("id", F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x)).alias("n_set"))
+
+
+@query(f"with {_RANKED}, m as (select x m from r where rk = n//2) select vec_id id, sum(case when x>m then 1 else 0 end)::bigint n_set from (select vec_id, unnest(embedding)::double x from embeddings), m group by 1")
+def qz5_median_bits(spark, sf):
+    b = base(spark, sf)
+    words = quantize.Bits.fit_median(b).transform(F.col("vec"), DIM)
+    return b.select("id", F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x)).alias("n_set"))
+
+
+_HAM = _fold(QE, BE, "case when (z[1]>0) != (z[2]>0) then 1 else 0 end")
+
+
+@query(f"select qid, id, cast(rn as bigint) as \"rank\", dist from (select q.vec_id qid, b.vec_id id, cast({_HAM} as bigint) dist, row_number() over (partition by q.vec_id order by {_HAM}, b.vec_id) rn from {PAIRS}) where rn <= 10")
+def d9_hamming_knn(spark, sf):
+    coded = base(spark, sf).select("id", quantize.Bits().transform(F.col("vec"), DIM).alias("w"))
+    q = coded.where("id < 20").select(F.col("id").alias("qid"), F.col("w").alias("qw"))
+    scored = coded.crossJoin(F.broadcast(q)).select("qid", "id", M.hamming(F.col("qw"), F.col("w")).cast("long").alias("dist"))
+    return exact.top_k(scored, 10).select("qid", "id", F.col("rank").cast("long").alias("rank"), "dist")
+
+
+_SHORT = f"s as (select qid,id,qe,be from (select q.vec_id qid, b.vec_id id, {QE} qe, {BE} be, row_number() over (partition by q.vec_id order by {_HAM}, b.vec_id) rn from {PAIRS}) where rn <= 100)"
+
+
+@query(f"with {_SHORT} select qid, id, cast(rn as bigint) as \"rank\", round(dist,6) dist from (select qid,id,{sq('qe', 'be')} dist,row_number() over (partition by qid order by {sq('qe', 'be')},id) rn from s) where rn <= 10")
+def as6_rerank(spark, sf):
+    """A short list by one-bit codes, ranked by full precision."""
+    b, q = base(spark, sf), asked(spark, sf)
+    coded = b.select("id", quantize.Bits().transform(F.col("vec"), DIM).alias("w"))
+    qc = coded.where("id < 20").select(F.col("id").alias("qid"), F.col("w").alias("qw"))
+    short = exact.top_k(coded.crossJoin(F.broadcast(qc)).select("qid", "id", M.hamming(F.col("qw"), F.col("w")).alias("dist")), 100)
+    full = short.select("qid", "id").join(b, "id").join(F.broadcast(q), "qid").select("qid", "id", M.l2sq(F.col("qv"), F.col("vec")).alias("dist"))
+    return _out(exact.top_k(full, 10))
+
+
+def _truth(spark, sf):
+    return exact.blocked_knn(asked(spark, sf), base(spark, sf), 100)
+
+
+def _found(spark, sf):
+    return as6_rerank(spark, sf).select("qid", "id")
+
+
+_TRUE = f"t as (select qid,id,dist,rn from (select q.vec_id qid,b.vec_id id,{sq(QE, BE)} dist,row_number() over (partition by q.vec_id order by {sq(QE, BE)},b.vec_id) rn from {PAIRS}) where rn <= 100)"
+_AS6 = f"f as (select qid,id from ({SQL['as6_rerank']}))"
+
+
+@query(f"with {_TRUE}, {_AS6}, k as (select qid,max(dist) kd from t where rn<=10 group by 1) select (select count(distinct qid) from t) n_queries, count(*) hits, count(*)/((select count(distinct qid) from t)*10.0) recall from f join t using(qid,id) join k using(qid) where rn<=10 or dist=kd")
+def ev1_recall_ties(spark, sf):
+    return evaluate.recall(_truth(spark, sf), _found(spark, sf), 10)
+
+
+@query(f"with {_TRUE}, {_AS6} select (select count(distinct qid) from t) n_queries, count(*) hits, count(*)/((select count(distinct qid) from t)*10.0) recall from f join t using(qid,id) where rn<=10")
+def ev2_recall(spark, sf):
+    return evaluate.recall(_truth(spark, sf), _found(spark, sf), 10, ties=False)
+
+
+@query(f"with t as (select q.vec_id qid,b.vec_id id from {PAIRS} and {sq(QE, BE)} <= 1.4), f as (select qid,id from ({SQL['as6_rerank']}) where dist <= 1.4), c as (select qid,count(*) t from t group by 1), d as (select qid,count(*) f from f group by 1) select round(avg(coalesce(f,0)/t),9) pointwise, round(sum(coalesce(f,0))/sum(t),9) cumulative from c left join d using(qid)")
+def ev4_range_recall(spark, sf):
+    truth = exact.within(asked(spark, sf), base(spark, sf), 1.4)
+    out = evaluate.range_recall(truth, as6_rerank(spark, sf).where("dist <= 1.4"))
+    return out.select(F.round("pointwise", 9).alias("pointwise"), F.round("cumulative", 9).alias("cumulative"))
+
+
+@query("select cast(floor(avg(n_chars)) as bigint) mean_value, (select n_chars from (select n_chars,row_number() over (order by n_chars)-1 rk,count(*) over () n from documents) where rk=least(cast(floor(n*0.99) as bigint),n-1))::bigint tail_value from documents")
+def ev6_tail_stats(spark, sf):
+    return evaluate.tail(spark.read.parquet(f"{sf}/documents.parquet"), "n_chars")
+
+
+_SWEEP = [(round(0.05 * i, 2), float(1000 - 37 * i % 500)) for i in range(1, 21)]
+_BUCKET_SQL = ",".join(f"({b},{evaluate.BUCKETS[i + 1] if i + 1 < len(evaluate.BUCKETS) else 'null'})" for i, b in enumerate(evaluate.BUCKETS))
+
+
+@query(f"select b::double bucket, max(qps)::double qps, max_by(recall, qps)::double recall from (values {','.join(map(str, _SWEEP))}) r(recall,qps) join (values {_BUCKET_SQL}) k(b,u) on recall>=b and (u is null or recall<=u) group by 1")
+def ev8_pareto(spark, sf):
+    return evaluate.frontier(spark.createDataFrame(_SWEEP, "recall double, qps double"))
+
+
+@query(f"with {GRAPH}, d as (select src,count(*) n from g group by 1) select avg(n)::double avg_degree, max(n)::bigint max_degree from d")
+def ev11_degree(spark, sf):
+    return graph.degrees(knn8(spark, sf), base(spark, sf).select("id")).agg(F.avg("out_degree").alias("avg_degree"), F.max("out_degree").alias("max_degree"))
+
+
+@query(f"with {GRAPH}, d as (select e.vec_id v, count(g.dst) n from embeddings e left join g on g.dst=e.vec_id group by 1) select max(n)::bigint max_in, sum(case when n<4 then 1 else 0 end)::bigint n_below_4 from d")
+def ev12_indegree(spark, sf):
+    return graph.degrees(knn8(spark, sf), base(spark, sf).select("id")).agg(F.max("in_degree").alias("max_in"), F.sum((F.col("in_degree") < 4).cast("long")).alias("n_below_4"))
+
+
+@query(f"with {GRAPH}, l as (select src,dst-lag(dst,1,0) over (partition by src order by dst) gap from g) select src, sum(case when gap<128 then 1 when gap<16384 then 2 else 3 end)::bigint n_bytes from l group by 1")
+def ev14_edge_bytes(spark, sf):
+    return graph.edge_bytes(knn8(spark, sf))
+
+
+@query(f"with {GRAPH}, h as (select src,dst from g where dst%3=0), d as (select src,count(*) n from h group by 1) select src,n,coalesce(sum(n) over (order by src rows between unbounded preceding and 1 preceding),0)::bigint as \"first\" from d")
+def p9_offsets(spark, sf):
+    return graph.offsets(knn8(spark, sf).where("dst % 3 = 0"))
+
+
+@query(f"with {GRAPH} select dst src, src dst from g")
+def p17_transpose(spark, sf):
+    return graph.transpose(knn8(spark, sf))
+
+
+@query(f"with recursive {GRAPH}, r(vertex,level) as (select 0::bigint,0 union select g.dst,r.level+1 from r join g on g.src=r.vertex where r.level<8) select vertex, min(level)::int as \"level\" from r group by 1")
+def p18_bfs_levels(spark, sf):
+    return graph.levels(graph.cut(knn8(spark, sf)), 0, 8)
+
+
+@query(f"with {GRAPH} select src,dst from (select dst src,src dst,row_number() over (partition by dst order by (src*2654435761+7*40503)%2147483647,src) n from g) where n<=8")
+def nn1_reverse(spark, sf):
+    return graph.reverse_neighbours(knn8(spark, sf), 8)
+
+
+_REV = "v as (select src,dst from (select dst src,src dst,row_number() over (partition by dst order by (src*2654435761+7*40503)%2147483647,src) n from g) where n<=8)"
+
+
+@query(f"with {GRAPH}, {_REV} select distinct x.dst a, y.dst b from v x join v y on x.src=y.src and x.dst<y.dst where not exists (select 1 from g where (g.src=x.dst and g.dst=y.dst) or (g.src=y.dst and g.dst=x.dst))")
+def nn2_candidates(spark, sf):
+    return graph.descent_candidates(graph.cut(knn8(spark, sf)), 8)
+
+
+@query(f"with {GRAPH}, u as (select distinct src,id,d from (select src,dst id,dist d from g where rank<=5 union all select src,dst,dist from g where rank between 3 and 8)) select src,id,cast(n as int) as \"rank\" from (select *,row_number() over (partition by src order by d,id) n from u) where n<=6")
+def nn6_union_bounded(spark, sf):
+    g = graph.cut(knn8(spark, sf).withColumnRenamed("dst", "id"))
+    return graph.union_bounded(g.where("rank <= 5"), g.where("rank between 3 and 8"), 6).select("src", "id", "rank")
+
+
+@query(f"with {GRAPH} select src, count(distinct dst)::bigint n from (select src,dst from g union all select dst,src from g) group by 1")
+def hc2_dedup(spark, sf):
+    g = graph.cut(knn8(spark, sf))
+    return g.select("src", "dst").union(graph.transpose(g)).distinct().groupBy("src").agg(F.count("*").alias("n"))
+
+
+@query("select vec_id id, floor(-ln(((vec_id*2654435761+7*40503)%2147483647+1)/2147483648.0)/ln(16))::bigint as \"level\" from embeddings")
+def hn1_levels(spark, sf):
+    u = (graph.arithmetic_hash(F.col("id"), 7) + 1) / 2147483648.0
+    return base(spark, sf).select("id", F.floor(-F.log(u) / F.log(F.lit(16.0))).alias("level"))
+
+
+_PIVOT = "select arg_min(vec_id,h) a, arg_max(vec_id,h) b from (select vec_id,(vec_id*2654435761+7*40503)%2147483647 h from embeddings)"
+
+
+@query(f"with p as ({_PIVOT}) select e.vec_id id, case when {sq('e.embedding', 'x.embedding')} <= {sq('e.embedding', 'y.embedding')} then 0 else 1 end::int side from embeddings e, p, embeddings x, embeddings y where x.vec_id=p.a and y.vec_id=p.b")
+def cl1_tree_split(spark, sf):
+    """One level of a cluster tree: the nearer of two pivots drawn by hash."""
+    b = base(spark, sf)
+    h = graph.arithmetic_hash(F.col("id"), 7)
+    pivots = b.agg(F.min_by("vec", h).alias("x"), F.max_by("vec", h).alias("y"))
+    left = M.l2sq(F.col("vec"), F.col("x")) <= M.l2sq(F.col("vec"), F.col("y"))
+    return b.crossJoin(F.broadcast(pivots)).select("id", F.when(left, 0).otherwise(1).alias("side"))
+
+
+@query(f"select src,dst,cast(n as int) as \"rank\" from (select a.vec_id src,b.vec_id dst,row_number() over (partition by a.vec_id order by {sq('a.embedding', 'b.embedding')},b.vec_id) n from embeddings a join embeddings b on a.label=b.label and a.vec_id!=b.vec_id) where n<=5")
+def ex4_leaf_knn(spark, sf):
+    """Nearest neighbours within leaves (here: labels), an equi-join and a window."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    a, b = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    scored = a.join(b, "label").where("qid != id").select("qid", "id", M.l2sq(F.col("qv"), F.col("vec")).alias("dist"))
+    return exact.top_k(scored, 5).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "rank")
+
+
+def _built(kind: str, **more):
+    def run(spark, sf):
+        index = Index.build(base(spark, sf), BuildParams(kind=kind, degree=24, beam=48, trees=6, **more))
+        return index.search(asked(spark, sf), K, beam=64).select("qid", "id", "rank", F.round("dist", 6).alias("dist"))
+
+    return run
+
+
+QUERIES["ib2_vamana"] = _built("vamana")
+QUERIES["as8_hnsw"] = _built("hnsw")
+QUERIES["hc3_hcnng"] = _built("hcnng")
+QUERIES["nn5_nndescent"] = _built("descent")
+
+
+def _ranged(mode: str):
+    def run(spark, sf):
+        index = Index.build(base(spark, sf), BuildParams(kind="descent", degree=24))
+        return index.range_search(asked(spark, sf), 1.4, beam=16, mode=mode).select("qid", "id", F.round("dist", 6).alias("dist"))
+
+    return run
+
+
+QUERIES["rs1_range_beam"] = _ranged("beam")
+QUERIES["rs2_range_greedy"] = _ranged("greedy")
+QUERIES["rs3_range_doubling"] = _ranged("doubling")
