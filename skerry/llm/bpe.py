@@ -374,7 +374,9 @@ class TextEncoder:
 def encoder(path: str, kind: str) -> TextEncoder:
     """The encoder of a vocabulary file, one for each Python worker. kind: prefix or merge."""
     vocab = vocabulary(path)
-    return TextEncoder(vocab, (PrefixEncoder(vocab) if kind == "prefix" else MergeEncoder(vocab)).many)
+    if kind == "prefix":
+        return TextEncoder(vocab, PrefixEncoder(vocab).many)
+    return TextEncoder(vocab, MergeEncoder(vocab).many, memo=80_000)
 
 
 def tokenised(docs, path: str, kind: str = "prefix"):

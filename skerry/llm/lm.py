@@ -30,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import BLOCK, LOWER, U64, column_bytes, cut, find_words, hash_rows, hash_spans, ragged, slices
+from skerry.llm.textops import BLOCK, LOWER, U64, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, ragged, slices, tidy
 
 END = U64(0xE0D0C0B0A0908070)
-CHUNK = 8 * BLOCK
+CHUNK = 6 * BLOCK
 #: Cells of the histogram for expectation-maximisation: context buckets, and steps of the two estimates in log2 / 4.
 CONTEXTS, STEPS, FINE = 40, 160, 4
 
@@ -253,23 +253,24 @@ def score(docs: DataFrame) -> DataFrame:
     Documents whose crc32(doc_id as text) mod 5 is 1 are held out: scored, but never learned from.
     """
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "chunk long, bucket int, blob binary"
-    states = cut(rows.mapInArrow(_States(), kind))
+    states = cut(rows.mapInArrow(tidy(_States()), kind))
     n_chunks = states.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(8, n_chunks // 2)
-    asked = states.mapInArrow(_ask(buckets), kind).repartition(min(buckets, max(parts, buckets // 4)), "bucket").sortWithinPartitions("bucket", "chunk")
-    answers = asked.mapInArrow(_answer, kind)
+    asked = states.mapInArrow(tidy(_ask(buckets)), kind).repartition(min(buckets, max(parts, buckets // 4)), "bucket").sortWithinPartitions("bucket", "chunk")
+    answers = asked.mapInArrow(tidy(_answer), kind)
     met = cut(states.union(answers).repartition(max(parts, n_chunks // 4), "chunk").sortWithinPartitions("chunk", "bucket"))
     totals = met.where("chunk = -1").select("blob").mapInArrow(_add_totals, "kept long, deleted long, v_kept long, v long").groupBy().agg(*[F.sum(c).alias(c) for c in ("kept", "deleted", "v_kept", "v")]).first()
     kept, deleted, v_kept, v = (int(x or 0) for x in totals)
     own = met.where("chunk >= 0")
-    cells = own.mapInArrow(_meet(_histogram(kept)), "cell long, d double, one double, two double").groupBy("cell").agg(F.sum("d").alias("d"), F.sum("one").alias("one"), F.sum("two").alias("two"))
+    cells = own.mapInArrow(tidy(_meet(_histogram(kept))), "cell long, d double, one double, two double").groupBy("cell").agg(F.sum("d").alias("d"), F.sum("one").alias("one"), F.sum("two").alias("two"))
     found = cells.orderBy("cell").toArrow()  # at most CONTEXTS * STEPS ** 2 rows
     d = found.column("d").to_numpy()
     weights = learn_weights(found.column("cell").to_numpy(), d, found.column("one").to_numpy() / np.maximum(d, 1e-300), found.column("two").to_numpy() / np.maximum(d, 1e-300), 1 / (v_kept + 1))
-    return own.mapInArrow(_meet(_scores(kept + deleted, v, weights)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return own.mapInArrow(tidy(_meet(_scores(kept + deleted, v, weights))), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _add_totals(batches):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, run_starts, slices
+from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, run_starts, slices, tidy
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -127,13 +127,13 @@ def _confirm(percent: int):
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """id, items: the packed shingle sets of the documents whose ids wanted holds, and a few others."""
-    return cut(docs.mapInArrow(_set_rows(width, IdFilter(wanted)), "id long, items binary").dropDuplicates(["id"]))
+    return cut(docs.mapInArrow(tidy(_set_rows(width, IdFilter(wanted))), "id long, items binary").dropDuplicates(["id"]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union on the full sets."""
     sa, sb = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    return cut(pairs.join(sb, "b").join(sa, "a").mapInArrow(_confirm(percent), "a long, b long"))
+    return cut(pairs.join(sb, "b").join(sa, "a").mapInArrow(tidy(_confirm(percent)), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,9 +148,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         up = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("x"), F.least("a", "low").alias("y"))
         up = cut(up)
-        while True:  # follow the hooks to their ends
+        while True:  # follow the hooks to their ends, four links a step
             far = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            jumped = cut(up.join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y"), (F.coalesce("z", "y") != F.col("y")).alias("moved")))
+            twice = up.join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y"), (F.coalesce("z", "y") != F.col("y")).alias("moved"))
+            farther = twice.select(F.col("x").alias("y"), F.col("y").alias("z"))
+            jumped = cut(twice.join(farther, "y", "left").select("x", F.coalesce("z", "y").alias("y"), "moved"))
             up = jumped.select("x", "y")
             if jumped.where("moved").isEmpty():
                 break
@@ -221,8 +223,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
 
     width: words in a shingle. percent: the least similarity of a link. part: members of each side of a block.
     """
+    bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_sign(width, hashes, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"))
+    signed = cut(docs.mapInArrow(tidy(_sign(width, hashes, rows)), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"))
     real = signed.where("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # one document for each class, with its bands
@@ -249,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     within = within.select("family", "rep", (-1 - (F.least("own", "other") * F.col("kr") + F.greatest("own", "other"))).alias("block"))
     blocks = across.unionByName(within).join(sets.withColumnRenamed("id", "rep"), "rep")
     spread = blocks.repartition("family", "block").sortWithinPartitions("family", "block")
-    more = cut(spread.mapInArrow(_closed(percent), "a long, b long"))
+    more = cut(spread.mapInArrow(tidy(_closed(percent)), "a long, b long"))
     labels = components(links.union(more))
 
     same = real.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.bpe import encoder
-from skerry.llm.textops import column_bytes, cut, slices
+from skerry.llm.textops import bounded, column_bytes, cut, slices, tidy
 
 
 def best_two_fit(counts: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -117,8 +117,9 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2) -> DataFram
     A document is the ids of its text and then ``end``; longer ones are cut into pieces of ``size`` ids, of
     which the first may be shorter. path: the vocabulary file.
     """
+    bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = cut(rows.mapInArrow(_cut_pieces(path, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"))
+    pieces = cut(rows.mapInArrow(tidy(_cut_pieces(path, size, end)), "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"))
     counts = pieces.groupBy("pid", "length").agg(F.count("*").alias("n"))
     histogram = np.zeros(size + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows

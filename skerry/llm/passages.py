@@ -28,9 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import BLOCK, NOT_SPACE, U64, IdFilter, append, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, run_starts, slices
+from skerry.llm.textops import BLOCK, NOT_SPACE, U64, IdFilter, append, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, bounded, run_starts, slices, tidy
 
-CHUNK = 8 * BLOCK
+CHUNK = 4 * BLOCK
 _Q = 0x5851F42D4C957F2D
 _Q_INV = pow(_Q, -1, 2**64)
 
@@ -255,20 +255,21 @@ def covered(n_words: int, spans: list[bytes], k: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def repeated(docs: DataFrame, k: int = 20, m: int = 4, bucket_mb: int = 12) -> DataFrame:
+def repeated(docs: DataFrame, k: int = 20, m: int = 4, bucket_mb: int = 8) -> DataFrame:
     """doc_, key_, found: for each document with repeated windows their ranges, to be read by covered().
 
     docs needs doc_id and text. key_ is xxhash64(text). bucket_mb: the text that a bucket is sized for;
     the number of buckets follows from the text there is.
     """
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).where("doc_id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, round(3.2 * size / (bucket_mb << 20)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
-    packed = rows.mapInArrow(_Cutter(k, m, buckets), "bucket long, blob binary")
+    packed = rows.mapInArrow(tidy(_Cutter(k, m, buckets)), "bucket long, blob binary")
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_Counter(k), "doc_ long, key_ long, spans binary").groupBy("doc_", "key_").agg(F.collect_list("spans").alias("found"))
+    return dealt.mapInArrow(tidy(_Counter(k)), "doc_ long, key_ long, spans binary").groupBy("doc_", "key_").agg(F.collect_list("spans").alias("found"))
 
 
 def dedup(docs: DataFrame, k: int = 20, m: int = 4) -> DataFrame:

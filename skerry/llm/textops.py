@@ -136,12 +136,36 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input, which for files is their size on disk."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def bounded(spark: SparkSession) -> None:
+    """Lets Spark hand at most 8 MB (or one row) at a time to Python, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(8 * BLOCK))
+
+
+def tidy(run):
+    """A function for mapInArrow that gives unused memory back when its task ends: workers live on, and
+    executors of several operators in turn would otherwise keep the largest share of each."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return go
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -178,7 +202,8 @@ def append(df: DataFrame, fields: str, fn, keep: list[str] | None = None) -> Dat
                 arrays = [part.column(part.schema.get_field_index(n)) for n in kept_names]
                 yield pa.RecordBatch.from_arrays([*arrays, *fn(part)], to)
 
-    return df.mapInArrow(run, schema)
+    bounded(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
@@ -235,4 +260,4 @@ class IdFilter:
                 own = batch.column(batch.schema.get_field_index(column)).cast(pa.int64())
                 yield batch.filter(pa.array(self.may_hold(own) == held))
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(tidy(run), df.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import append, slices
+from skerry.llm.textops import append, bounded, slices, tidy
 
 #: Letters that look like Latin ones, and signs read as letters inside words.
 LOOK_ALIKES = {
@@ -119,13 +119,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     log-likelihood ratio must be beyond what the best of as many random stems would reach.
     Rows that held_out() marks are never used.
     """
+    bounded(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").alias("id_"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("id_").isNotNull() & ~held_out("id_"))
         .orderBy(F.xxhash64("id_"), "id_", "toxic").limit(sample).dropDuplicates(["id_"])
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).select("text", "toxic")
-    counts = rows.mapInArrow(_features, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = rows.mapInArrow(tidy(_features), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = counts.where("term = ''").select("bad", "good").first()
     weights = dict.fromkeys(STEMS, 4.0)
     if total is None or not total[0] or not total[1]:
