@@ -1 +1,18 @@
-"""See the README."""
+"""Choosing a plan from sizes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from skerry.operators import exact
+from skerry.operators.index import Index
+
+
+def search(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2sq", index: Index | None = None, beam: int = 64) -> DataFrame:
+    """The index, if there is one; else exact search: natively for a broadcast query set of up to 100 rows,
+    by blocks for more."""
+    if index is not None:
+        return index.search(queries, k, max(beam, k))
+    if exact._size(queries) <= exact.MOST_BROADCAST and queries.limit(101).count() <= 100:
+        return exact.knn(queries, base, k, metric)
+    return exact.blocked_knn(queries, base, k, metric)
