@@ -79,4 +79,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_minmax": op10_minmax,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^ \t\n\v\f\r]+')"
+
+#: Queries that SQL can express. The others are tested against brute force in tests/llm.
+SQL: dict[str, str] = {
+    "op8_super_kmers": f"""with d as (select doc_id, {_WORDS.format("coalesce(text,'')")} w from documents),
+        v as (select doc_id, unnest(range(1, len(w) - 18)) i, w from d where len(w) >= 20),
+        x as (select doc_id, i, row_number() over (partition by array_to_string(w[i:i+19], ' ') order by doc_id, i) n from v),
+        g as (select distinct doc_id, i + unnest(range(0, 20)) p from x where n > 1),
+        e as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) y from d),
+        k as (select doc_id, string_agg(y, ' ' order by p) t, count(*) n from e anti join g using (doc_id, p) group by 1)
+        select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join k using (doc_id)""",
+    "op10_minmax": f"""with recursive d as (select doc_id, {_WORDS.format("translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')")} w from documents),
+        s as (select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) sh from d),
+        e as (select doc_id, unnest(sh) x from s),
+        p as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+        l as (select a, b from p join s m on m.doc_id = a join s n on n.doc_id = b where 100 * c >= 80 * (len(m.sh) + len(n.sh) - c)),
+        u as (select a, b from l union all select b, a from l),
+        r(v, t) as (select doc_id, doc_id from s union select r.v, u.b from r join u on u.a = r.t),
+        k as (select v, min(t) t from r group by 1)
+        select doc_id, len(sh)::bigint n_shingles, t component_id, t = doc_id kept from s join k on k.v = doc_id""",
+}
