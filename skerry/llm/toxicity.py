@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import append, bounded, slices, tidy
+from skerry.llm.textops import append, bounded, cut, slices, tidy
 
 #: Letters that look like Latin ones, and signs read as letters inside words.
 LOOK_ALIKES = {
@@ -127,6 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).select("text", "toxic")
     counts = rows.mapInArrow(tidy(_features), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = cut(counts.where("bad >= 3 or term = ''"))
     total = counts.where("term = ''").select("bad", "good").first()
     weights = dict.fromkeys(STEMS, 4.0)
     if total is None or not total[0] or not total[1]:
@@ -138,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     n = bad + good + 2
     part = lambda x, row, col: x * F.log(x * n / (row * col))
     g2 = 2 * (part(a, a + b, bad + 1) + part(b, a + b, good + 1) + part(c, c + d, bad + 1) + part(d, c + d, good + 1))
-    seen = counts.where("term != '' and bad >= 3").select("term", "bad", g2.alias("g2"), F.log(a / b).alias("odds"))
+    seen = counts.where("term != ''").select("term", "bad", g2.alias("g2"), F.log(a / b).alias("odds"))
     tried = seen.count()
     found = seen.where((F.col("g2") >= 2 * math.log(max(tried, 1)) + 3) & (F.col("odds") >= math.log(4)))
     rows = found.orderBy(F.desc("g2"), "term").limit(most).collect()
