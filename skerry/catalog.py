@@ -353,7 +353,7 @@ def ex4_leaf_knn(spark, sf):
 
 def _built(kind: str, **more):
     def run(spark, sf):
-        index = Index.build(base(spark, sf), BuildParams(kind=kind, degree=24, beam=48, trees=6, **more))
+        index = Index.build(base(spark, sf), BuildParams(kind=kind, degree=24, beam=48, trees=6, shard=500, **more))
         return index.search(asked(spark, sf), K, beam=64).select("qid", "id", "rank", F.round("dist", 6).alias("dist"))
 
     return run

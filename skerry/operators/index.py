@@ -38,7 +38,7 @@ class BuildParams:
     leaf: int = 100
     mst_degree: int = 3
     delta: float = 0.05
-    shard: int = 50_000
+    shard: int = 10_000
     seed: int = 0
 
     def __post_init__(self):
