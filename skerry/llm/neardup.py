@@ -11,10 +11,10 @@ All work is linear in the documents and bands:
 2. in every bucket of a band each member is compared with the smallest one
    (a star), and confirmed links are joined to components;
 3. all that the stars join, confirmed or not, is a family, so that every pair
-   sharing a bucket is within one. Only where a family still holds several
-   components are pairs between the largest one and the rest, and within the
-   rest, looked at: in blocks of bounded size, on full sets. A block returns
-   at most one edge a member. No pair is dropped by a cap.
+   sharing a bucket is within one. Members linked with the family's commonest
+   centre need no more; where others are left, pairs between them and the
+   former, and among them, are looked at: in blocks of bounded size, on full
+   sets. A block returns at most one edge a member. No pair is dropped by a cap.
 
 With the default of 32 bands of 4 values two sets of similarity 0.8 miss each
 other in all bands with probability 5e-8.
@@ -218,7 +218,7 @@ def _closed(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 64, rows: int = 4, part: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 64, rows: int = 4, part: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     width: words in a shingle. percent: the least similarity of a link. part: members of each side of a block.
@@ -235,14 +235,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     stars = cut(members.join(sizes, "band").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
     sets = sets_of(docs, stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), width)
     links = confirmed(stars, sets, percent)
-    labels = components(links)
+    labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))  # each member's smallest confirmed centre
 
     # families are what the stars join, confirmed or not: every pair that shares a bucket is in one family
     families = components(stars).select(F.col("node").alias("rep"), F.col("label").alias("family"))
     tagged = families.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("label", "rep").alias("label"))
     parties = tagged.groupBy("family", "label").agg(F.count("*").alias("n"))
     open_ = parties.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    # pairs of the largest component and the rest, and within the rest, in blocks of a part of each
+    # pairs of those linked with the commonest centre and the rest, and within the rest, in blocks of a part of each
     size = lambda n: F.greatest(F.ceil(n / part), F.lit(1)).cast("int")
     rows = tagged.join(open_, "family").select("family", "rep", (F.col("label") == F.col("most")).alias("main"), size(F.col("n_most")).alias("km"), size(F.col("n") - F.col("n_most")).alias("kr"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("km")).otherwise(F.col("kr"))).cast("int"))

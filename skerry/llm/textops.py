@@ -137,10 +137,10 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Lets Spark hand at most 8 MB (or one row) at a time to Python, unless the session says otherwise."""
+    """Lets Spark hand at most 4 MB (or one row) at a time to Python, unless the session says otherwise."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(8 * BLOCK))
+        spark.conf.set(key, str(4 * BLOCK))
 
 
 def tidy(run):
