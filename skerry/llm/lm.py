@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from skerry.llm.textops import BLOCK, LOWER, U64, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, ragged, slices, tidy
 
 END = U64(0xE0D0C0B0A0908070)
-CHUNK = 6 * BLOCK
+CHUNK = 12 * BLOCK
 #: Cells of the histogram for expectation-maximisation: context buckets, and steps of the two estimates in log2 / 4.
 CONTEXTS, STEPS, FINE = 40, 160, 4
 
@@ -62,8 +62,17 @@ def _unplaned(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _columns(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as byte planes: counts are small, so that most planes are zeros."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _uncolumns(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
+
 class _States:
-    """Documents to states: doc ids, parts of the split, tokens as numbers into the chunk's sorted words."""
+    """Documents to states: doc ids, parts of the split, tokens as numbers into the chunk's words by frequency."""
 
     def __call__(self, batches):
         held, size, serial = [], 0, 0
@@ -88,18 +97,21 @@ class _States:
         tokens = np.full(len(words) + len(ids), END)  # each document's words, then one end
         edge = np.concatenate(([0], np.cumsum(counts + 1)))
         tokens[ragged(edge[:-1], counts)] = words
-        known, tokens = np.unique(tokens, return_inverse=True)
+        known, tokens, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        by_count = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress better
+        number_of = np.empty(len(known), np.int64)
+        number_of[by_count] = np.arange(len(known))
         crc = np.array([zlib.crc32(("null" if i is None else str(i)).encode()) for i in ids], np.int64)
         part = np.where(crc % 5 == 1, 2, np.where(crc // 5 % 5 == 1, 1, 0)).astype(np.uint8)  # 2: held out, 1: deleted, 0: kept
-        blob = _pack(np.array([i is None for i in ids]), np.array([i or 0 for i in ids], np.int64), part, (counts + 1).astype(np.int64), _planes(known), tokens.astype(np.uint32))
+        blob = _pack(np.array([i is None for i in ids]), np.array([i or 0 for i in ids], np.int64), part, (counts + 1).astype(np.int64), _planes(known), _columns(np.diff(by_count, prepend=0)), _columns(number_of[tokens]))
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "bucket", "blob"])
 
 
 class _State:
     def __init__(self, blob: bytes):
-        none, ids, self.part, self.sizes, known, tokens = _unpack(blob, [np.bool_, np.int64, np.uint8, np.int64, np.uint8, np.uint32])
+        none, ids, self.part, self.sizes, known, by_count, tokens = _unpack(blob, [np.bool_, np.int64, np.uint8, np.int64, np.uint8, np.uint8, np.uint8])
         self.ids = pa.array(ids, mask=none)
-        self.known, self.tokens = _unplaned(known), tokens.astype(np.int64)
+        self.known, self.tokens = _unplaned(known), np.cumsum(_uncolumns(by_count))[_uncolumns(tokens)]
         self.edge = np.concatenate(([0], np.cumsum(self.sizes)))
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
@@ -120,13 +132,13 @@ def _ask(buckets: int):
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 s = _State(blob)
-                word = [s.counts(s.tokens, len(s.known), p).astype(np.uint32) for p in (0, 1)]
-                pair = [s.counts(s.pair, len(s.pairs), p).astype(np.uint32) for p in (0, 1)]
+                word = [s.counts(s.tokens, len(s.known), p) for p in (0, 1)]
+                pair = [s.counts(s.pair, len(s.pairs), p) for p in (0, 1)]
                 # buckets are ranges of hashes, so that the sorted lists are cut
                 edge = np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)
                 w = np.concatenate(([0], np.searchsorted(s.known, edge.astype(np.uint64)), [len(s.known)]))
                 p = np.concatenate(([0], np.searchsorted(s.pairs, edge.astype(np.uint64)), [len(s.pairs)]))
-                out = [_pack(_planes(s.known[a:b]), word[0][a:b], word[1][a:b], _planes(s.pairs[c:d]), pair[0][c:d], pair[1][c:d]) for a, b, c, d in zip(w[:-1], w[1:], p[:-1], p[1:], strict=True)]
+                out = [_pack(_planes(s.known[a:b]), _columns(word[0][a:b]), _columns(word[1][a:b]), _planes(s.pairs[c:d]), _columns(pair[0][c:d]), _columns(pair[1][c:d])) for a, b, c, d in zip(w[:-1], w[1:], p[:-1], p[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), pa.array(out, pa.binary())], ["chunk", "bucket", "blob"])
 
     return run
@@ -142,10 +154,10 @@ def _answer(batches):
         return total, [(total[0][inverse[a:b]], total[1][inverse[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def bucket(number: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-        parts = [_unpack(b, [np.uint8, np.uint32, np.uint32] * 2) for b in blobs]
-        words, word = one([_unplaned(p[0]) for p in parts], [p[1] for p in parts], [p[2] for p in parts])
-        _, pair = one([_unplaned(p[3]) for p in parts], [p[4] for p in parts], [p[5] for p in parts])
-        out = [_pack(w[0], w[1], p[0], p[1]) for w, p in zip(word, pair, strict=True)]
+        parts = [_unpack(b, [np.uint8] * 6) for b in blobs]
+        words, word = one([_unplaned(p[0]) for p in parts], [_uncolumns(p[1]) for p in parts], [_uncolumns(p[2]) for p in parts])
+        _, pair = one([_unplaned(p[3]) for p in parts], [_uncolumns(p[4]) for p in parts], [_uncolumns(p[5]) for p in parts])
+        out = [_pack(*map(_columns, (*w, *p))) for w, p in zip(word, pair, strict=True)]
         seen = words[0] + words[1]
         out.append(np.array([words[0].sum(), words[1].sum(), (words[0] > 0).sum(), (seen > 0).sum()], np.int64).tobytes())
         return pa.RecordBatch.from_arrays([pa.array([*chunks, -1], pa.int64()), pa.array([number] * len(out), pa.int32()), pa.array(out, pa.binary())], ["chunk", "bucket", "blob"])
@@ -170,7 +182,7 @@ def _meet(use):
         now, state, answers = None, None, []
 
         def done():
-            parts = [_unpack(b, [np.int64] * 4) for b in answers]
+            parts = [[_uncolumns(x) for x in _unpack(b, [np.uint8] * 4)] for b in answers]
             return use(_State(state), *(np.concatenate([p[i] for p in parts]) for i in range(4)))
 
         for batch in batches:
