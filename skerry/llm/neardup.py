@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, run_starts, slices, tidy
+from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, release, slices, tidy
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -136,15 +136,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(sb, "b").join(sa, "a").mapInArrow(tidy(_confirm(percent)), "a long, b long"))
 
 
+def _forest(batches, most: int = 1 << 20):
+    """For every ``most`` edges of a task: each node with the smallest one that these edges connect it to."""
+
+    def stars(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("a", "b"))
+        nodes, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+        a, b = number[: len(a)], number[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for end in (a, b, label[a], label[b]):
+                np.minimum.at(new, end, low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[label[far]]), pa.array(nodes[far])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield stars(held)
+            held, n = [], 0
+    if held:
+        yield stars(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable, for all nodes of the edges (a, b).
 
-    Each round hooks every label to its smallest neighbour, shortens the chains and contracts, so that
-    the number of rounds is logarithmic. Nothing but a count reaches the driver.
+    Tasks first replace their own edges by a forest of stars that connects the same nodes. Then each round
+    hooks every label to its smallest neighbour, shortens the chains and contracts, so that the number of
+    rounds is logarithmic. Nothing but a count reaches the driver.
     """
-    edges = cut(edges.where("a != b").distinct())
+    forest = lambda df: df.where("a != b").mapInArrow(tidy(_forest), "a long, b long").distinct()
+    edges = cut(forest(edges.select("a", "b")))
     labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
     while not edges.isEmpty():
+        release(edges.sparkSession)
         both = edges.union(edges.select("b", "a"))
         up = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("x"), F.least("a", "low").alias("y"))
         up = cut(up)
@@ -159,7 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = cut(labels.join(up, F.col("label") == F.col("x"), "left").select("node", F.coalesce("y", "label").alias("label")))
         to = up.select(F.col("x").alias("b"), F.col("y").alias("v"))
         moved = edges.join(up.select(F.col("x").alias("a"), F.col("y").alias("u")), "a").join(to, "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        edges = cut(moved.where("a != b").distinct())
+        edges = cut(forest(moved))
     return labels
 
 
@@ -224,6 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     width: words in a shingle. percent: the least similarity of a link. part: members of each side of a block.
     """
     bounded(docs.sparkSession)
+    release(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(docs.mapInArrow(tidy(_sign(width, hashes, rows)), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"))
     real = signed.where("doc_id is not null and n_shingles > 0")
@@ -235,6 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     stars = cut(members.join(sizes, "band").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
     sets = sets_of(docs, stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), width)
     links = confirmed(stars, sets, percent)
+    release(docs.sparkSession)
     labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))  # each member's smallest confirmed centre
 
     # families are what the stars join, confirmed or not: every pair that shares a bucket is in one family

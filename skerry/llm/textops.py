@@ -7,6 +7,7 @@ tables, and each word gets a 64-bit hash without a Python object per word.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,7 +153,6 @@ def tidy(run):
             yield from run(batches)
         finally:
             import ctypes
-            import gc
 
             gc.collect()
             pa.default_memory_pool().release_unused()
@@ -172,12 +172,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests on one machine, a folder in /tmp is used.
+    Only where that setting is absent, as in tests on one machine, a folder in /tmp is used. Shuffle files
+    that only led here are removed: the written rows replace them.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    context = session.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = session.conf.get(key, "false")
+    session.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned anew, under the setting
+    finally:
+        session.conf.set(key, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop plans that nothing refers to any more, and with them their checkpoints.
+
+    Spark's cleaner acts on what the driver's collector finds; loops of many small jobs would else fill its heap.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def append(df: DataFrame, fields: str, fn, keep: list[str] | None = None) -> DataFrame:
