@@ -273,7 +273,7 @@ def score(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(8, n_chunks // 2)
     asked = states.mapInArrow(tidy(_ask(buckets)), kind).repartition(min(buckets, max(parts, buckets // 4)), "bucket").sortWithinPartitions("bucket", "chunk")
-    answers = asked.mapInArrow(tidy(_answer), kind)
+    answers = cut(asked.mapInArrow(tidy(_answer), kind))  # what was asked is gone before states and answers meet
     met = cut(states.union(answers).repartition(max(parts, n_chunks // 4), "chunk").sortWithinPartitions("chunk", "bucket"))
     totals = met.where("chunk = -1").select("blob").mapInArrow(_add_totals, "kept long, deleted long, v_kept long, v long").groupBy().agg(*[F.sum(c).alias(c) for c in ("kept", "deleted", "v_kept", "v")]).first()
     kept, deleted, v_kept, v = (int(x or 0) for x in totals)
