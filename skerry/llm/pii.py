@@ -162,9 +162,11 @@ class Pseudonyms:
             return _fill(value, f"{digits[:2]}{self._number(int(digits[2:]), 10 ** (len(digits) - 2), 'phone' + digits[:2]):0{len(digits) - 2}d}")
         lead, own = ("1", digits[1:]) if len(digits) == 11 and digits[0] == "1" else ("", digits)
         valid = lambda x: f"{x:010d}"[0] >= "2" and f"{x:010d}"[3] >= "2"
-        if len(own) != 10 or not valid(int(own)):
+        if len(own) != 10:
             return None
-        return _fill(value, f"{lead}{self._number(int(own), 10**10, 'nanp', valid):010d}")
+        # numbers that aren't assigned are replaced among themselves
+        tweak, ok = ("nanp", valid) if valid(int(own)) else ("nanp0", lambda x: not valid(x))
+        return _fill(value, f"{lead}{self._number(int(own), 10**10, tweak, ok):010d}")
 
     def _ip(self, value: str) -> str | None:
         parts = [int(p) for p in value.split(".")]

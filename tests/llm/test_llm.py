@@ -227,6 +227,13 @@ def test_pii(spark):
     assert rows[0].text is None and rows[1].text == "" and rows[2].text + " é" == rows[3].text and rows[2].pii_kinds == "card:1"
 
 
+def test_pii_telephone_numbers_of_any_area():
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    for t in ["+1 (058) 555-3468", "+1 (184) 555-7766", "212-055-1234", "(012) 155-1234"]:
+        new, counts = there(t)
+        assert counts == {"phone": 1} and new != t and back(new) == (t, counts)
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License.", "Relased under the MIT Licence", "General Public\nLicense x mit license", None, "", "permit license mit licenses", "Licensed under CC BY-NC 4.0.", "Licensd undr CC BY-NC 4.0"]
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
