@@ -4,7 +4,11 @@ Each value found is validated (check digits, calendar, ranges), mapped to a
 number below the size of its format, permuted by a keyed Feistel network with
 cycle walking, and written back in its format. Under one key equal values get
 equal pseudonyms in all documents, different values different ones, and the
-holder of the key can undo it. A pseudonym passes the same validation.
+holder of the key can undo it. A pseudonym passes the same validation. Where
+the form of a card or an IBAN takes in groups that don't belong to it, shorter
+prefixes are tried, then other formats, then what begins behind the first group.
+A pseudonym that would make a refused reading valid there is permuted again, so
+that the text can still be undone; such a value differs from its equals.
 
 Formats: payment cards (Luhn), e-mail addresses (the local part; the domain
 stays), telephone numbers (North American, and international with a plus), IPv4
@@ -17,6 +21,7 @@ results. Other columns are handed on.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -92,6 +97,24 @@ def _fill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+def _written(text: str, now: dict[int, str], finds: list[tuple[int, int, str]], lo: int, hi: int) -> str:
+    """text from lo to hi with the values of now; one that reaches over an end is cut there."""
+    out = []
+    for a, b, _ in finds[bisect.bisect_right(finds, lo, key=lambda f: f[1]) :]:
+        if a >= hi:
+            break
+        out += [text[lo:a], now[a][max(lo - a, 0) : hi - a if hi < b else None]]
+        lo = b
+    return "".join([*out, text[lo:hi]])
+
+
+def _ends(text: str, at: int, to: int, kind: str) -> list[int]:
+    """Where a value that starts at at may end, the longest first: cards and IBANs can be followed by other groups."""
+    if kind not in ("card", "iban"):
+        return [to]
+    return [to, *(e for e in range(to - 1, at, -1) if text[e] in " -" and EACH[kind].fullmatch(text[at:e]))]
+
+
 def _classes(value: str, alphabets: tuple[str, ...]) -> list[str]:
     return [next((a for a in alphabets if c in a), "") for c in value]
 
@@ -105,22 +128,43 @@ class Pseudonyms:
         self.known: dict[tuple[str, str], str | None] = {}
 
     def __call__(self, text: str) -> tuple[str, dict[str, int]]:
+        finds, failed = self._parse(text)
         counts: dict[str, int] = {}
-
-        def put(m: re.Match) -> str:
-            kind = m.lastgroup
-            found = (kind, m[0])
-            if found not in self.known:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                self.known[found] = self.kinds[kind](m[0])
-            new = self.known[found]
-            if new is None:
-                return m[0]
+        now = {a: text[a:b] for a, b, _ in finds}
+        # undone in reverse, so that each step sees the text that it saw
+        for a, b, kind in reversed(finds) if self.back else finds:
+            near = [f for f in failed if f[0] < b and a < f[1]]
+            now[a] = self._new(kind, now[a])
+            while near and any(self._new(k, _written(text, now, finds, lo, hi)) is not None for lo, hi, k in near):
+                now[a] = self._new(kind, now[a])
             counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        return ANY.sub(put, text), counts
+        return _written(text, now, finds, 0, len(text)), counts
+
+    def _parse(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+        """(start, end, kind) of the values, and of what has the form of one, but fails its validation."""
+        finds, failed = [], []
+        m = ANY.search(text)
+        while m:
+            at, to, kind, end = m.start(), m.end(), m.lastgroup, None
+            while kind and end is None:
+                for end in _ends(text, at, to, kind):
+                    if self._new(kind, text[at:end]) is not None:
+                        finds.append((at, end, kind))
+                        break
+                    failed.append((at, end, kind))
+                else:
+                    end = None
+                    kind, to = next(((k, n.end()) for k in _AFTER[kind] if (n := EACH[k].match(text, at))), (None, 0))
+            m = ANY.search(text, end or _GROUP.match(text, at).end())
+        return finds, failed
+
+    def _new(self, kind: str, value: str) -> str | None:
+        found = (kind, value)
+        if found not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[found] = self.kinds[kind](value)
+        return self.known[found]
 
     def _number(self, x: int, n: int, tweak: str, ok=lambda x: True) -> int:
         return self.feistel.permute(x, n, tweak.encode(), ok, self.back)
@@ -147,7 +191,9 @@ class Pseudonyms:
         if not 13 <= len(digits) <= 19 or digits[0] not in "23456" or luhn(digits[:-1]) != int(digits[-1]):
             return None
         n = len(digits) - 2  # the first digit, which tells the kind of card, stays
-        own = f"{digits[0]}{self._number(int(digits[1:-1]), 10**n, 'card' + digits[0]):0{n}d}"
+        # so does the sum that tells if the card and groups behind it would be a longer one
+        ok = lambda x: luhn(f"{(own := f'{digits[0]}{x:0{n}d}')}{luhn(own)}") == luhn(digits)
+        own = f"{digits[0]}{self._number(int(digits[1:-1]), 10**n, 'card' + digits[0], ok):0{n}d}"
         return _fill(value, f"{own}{luhn(own)}")
 
     def _email(self, value: str) -> str | None:
@@ -263,6 +309,9 @@ PATTERNS = {
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-])",
 }
 ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()), re.ASCII)
+EACH = {k: re.compile(v, re.ASCII) for k, v in PATTERNS.items()}
+_AFTER = {k: list(PATTERNS)[i + 1 :] for i, k in enumerate(PATTERNS)}
+_GROUP = re.compile(r"\w+|.", re.ASCII | re.DOTALL)
 _HINT = np.zeros(256, bool)
 _HINT[[*range(48, 58), 64]] = True
 _FIELD = re.compile(rb"(?i)password|passwd|pwd|secret|token|api_?key")
