@@ -275,7 +275,6 @@ def _read_date(value: str):
     """The date and a function that writes one alike; day first where both readings hold."""
     parts = re.split(r"[-/.]", value)
     mark = value[len(parts[0])]
-    pad = lambda x, like: str(x).zfill(2) if len(like) == 2 else str(x)
     orders = [(2, 1, 0)] if len(parts[0]) == 4 else [(0, 1, 2), (1, 0, 2)]
     for d, m, y in orders:
         try:
@@ -284,11 +283,10 @@ def _read_date(value: str):
             continue
         if not 1900 <= at.year <= 2099:
             continue
-        wide = any(p[0] == "0" for p in (parts[d], parts[m])) or len(parts[d]) == len(parts[m]) == 2
 
         def write(x: datetime.date, d=d, m=m, y=y) -> str:
             out = [""] * 3
-            out[d], out[m], out[y] = (pad(x.day, "00" if wide else "0"), pad(x.month, "00" if wide else "0"), str(x.year))
+            out[d], out[m], out[y] = str(x.day).zfill(len(parts[d])), str(x.month).zfill(len(parts[m])), str(x.year)
             return mark.join(out)
 
         return at, write, d

@@ -255,6 +255,13 @@ def test_pii_values_before_and_behind_other_groups():
         assert back(there(t)[0])[0] == t
 
 
+@pytest.mark.parametrize("t", ["01/2/2020", "1/02/2020", "10/2/2020", "1/12/2020", "05.3.1999", "5-03-1999", "04/3/2001 3/04/2001"])
+def test_pii_dates_of_mixed_padding(t):
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    new, counts = there(t)
+    assert counts["date"] == t.count(" ") + 1 and new != t and pii._shape(new) == pii._shape(t) and back(new) == (t, counts)
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License.", "Relased under the MIT Licence", "General Public\nLicense x mit license", None, "", "permit license mit licenses", "Licensed under CC BY-NC 4.0.", "Licensd undr CC BY-NC 4.0"]
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
