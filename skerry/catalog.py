@@ -295,7 +295,7 @@ def p17_transpose(spark, sf):
 
 @query(f"with recursive {GRAPH}, r(vertex,level) as (select 0::bigint,0 union select g.dst,r.level+1 from r join g on g.src=r.vertex where r.level<8) select vertex, min(level)::int as \"level\" from r group by 1")
 def p18_bfs_levels(spark, sf):
-    return graph.levels(graph.cut(knn8(spark, sf)), 0, 8)
+    return graph.levels(graph.cut(knn8(spark, sf)), 0)
 
 
 @query(f"with {GRAPH} select src,dst from (select dst src,src dst,row_number() over (partition by dst order by (src*2654435761+7*40503)%2147483647,src) n from g) where n<=8")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,12 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def levels(edges: DataFrame, start: int, most: int = 64) -> DataFrame:
-    """vertex, level: breadth-first levels from a vertex, one anti-join a level."""
+def levels(edges: DataFrame, start: int) -> DataFrame:
+    """vertex, level: breadth-first levels from a vertex, one anti-join a level, until no vertex is new."""
     spark = edges.sparkSession
     seen = front = cut(spark.createDataFrame([(start, 0)], "vertex long, level int"))
     pairs = edges.select("src", F.col("dst").alias("vertex")).distinct()
-    for level in range(1, most + 1):
+    for level in itertools.count(1):
         reached = front.select(F.col("vertex").alias("src")).join(pairs, "src").select("vertex").distinct()
         front = cut(reached.join(seen, "vertex", "left_anti").select("vertex", F.lit(level).alias("level")))
         if front.isEmpty():
