@@ -77,14 +77,16 @@ class Scanner:
                 w = [max(0, at - 2 * e), min(len(text), at + len(n) + 2 * e)]
                 have = windows.setdefault(i, [])
                 if have and w[0] <= have[-1][1]:
-                    have[-1][1] = max(have[-1][1], w[1])
+                    have[-1] = [min(have[-1][0], w[0]), max(have[-1][1], w[1])]
                 else:
                     have.append(w)
         found = []
         for i, spans in windows.items():
-            for a, b in spans:
-                for m in self.exact[i].finditer(text, a, b):
+            while spans:
+                a, b = spans.pop()
+                if m := self.exact[i].search(text, a, b):  # the best of the window; others stand before and behind it
                     found.append((i, sum(m.fuzzy_counts), m.start(), m.end()))
+                    spans += [[a, m.start()], [m.end(), b]]
         kept: list[tuple[int, int, int, int]] = []
         for f in sorted(found, key=lambda f: (f[1], f[2] - f[3], f[0], f[2])):
             if not any(f[2] < k[3] and k[2] < f[3] for k in kept):

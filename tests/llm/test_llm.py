@@ -277,6 +277,13 @@ def test_licenses(spark):
         assert licenses._scanner(tuple(licenses.NOTICES.items()))("".join(bad))
 
 
+def test_licenses_close_to_better_ones():
+    scanner = licenses._scanner(tuple(licenses.NOTICES.items()))
+    bad, good = "relased under the mit licence", "released under the mit license"
+    for words in [(bad, good), (good, bad), (bad, good, bad), (bad, bad, good)]:
+        assert [edits for _, edits, _, _ in scanner(" ".join(words))] == [2 if w == bad else 0 for w in words]
+
+
 def test_language_model(docs, empty):
     T = [(i, (t or "").encode().lower().split() + [None]) for i, t in ROWS + MORE]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
