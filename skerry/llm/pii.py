@@ -312,7 +312,7 @@ _AFTER = {k: list(PATTERNS)[i + 1 :] for i, k in enumerate(PATTERNS)}
 _GROUP = re.compile(r"\w+|.", re.ASCII | re.DOTALL)
 _HINT = np.zeros(256, bool)
 _HINT[[*range(48, 58), 64]] = True
-_FIELD = re.compile(rb"(?i)password|passwd|pwd|secret|token|api_?key")
+_FIELD = re.compile(rb"(?i:password|passwd|pwd|secret|token|api_?key)|AKIA|ASIA")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
@@ -324,7 +324,7 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
         column = batch.column(batch.schema.get_field_index("text"))
         data, offsets = column_bytes(column)
         hints = np.concatenate(([0], np.cumsum(_HINT[data], dtype=np.int64)))
-        look = hints[offsets[1:]] > hints[offsets[:-1]]  # other texts hold nothing that is looked for, but password fields
+        look = hints[offsets[1:]] > hints[offsets[:-1]]  # other texts hold nothing that is looked for, but password fields and access keys
         for m in _FIELD.finditer(data.tobytes()):
             look[np.searchsorted(offsets, m.start(), "right") - 1] = True
         kinds, n, new = [""] * len(look), np.zeros(len(look), np.int64), []
