@@ -31,7 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, release, slices, tidy
+from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, slices, tidy
+
+
+#: Parts of a group that a join on the group is dealt by, and the mean shingles of a block's members beyond which it has fewer.
+SALTS, SHINGLES = 16, 4096
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -168,34 +172,41 @@ def _forest(batches, most: int = 1 << 20):
         yield stars(held)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _labels(batches):
+    """Each node of all edges of the task with the smallest one that it is connected to."""
+    for part in _forest(batches, most=1 << 62):
+        own = pa.array(np.unique(part.column("a").to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([own, part.column("b")]), pa.concat_arrays([own, part.column("a")])], ["node", "label"])
+
+
+def components(edges: DataFrame, most: int = 1 << 18) -> DataFrame:
     """node, label: the smallest node reachable, for all nodes of the edges (a, b).
 
-    Tasks first replace their own edges by a forest of stars that connects the same nodes. Then each round
-    hooks every label to its smallest neighbour, shortens the chains and contracts, so that the number of
-    rounds is logarithmic. Nothing but a count reaches the driver.
+    Tasks first replace their own edges by a forest of stars that connects the same nodes. While more than
+    ``most`` edges are left, a round replaces each node by the one of itself and its neighbours that comes
+    first in a random order, which leaves about half the nodes in expectation; the rest, 4 MB at most, is
+    joined in one task. Nothing but a count reaches the driver.
     """
     forest = lambda df: df.where("a != b").mapInArrow(tidy(_forest), "a long, b long").distinct()
     edges = cut(forest(edges.select("a", "b")))
-    labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
-    while not edges.isEmpty():
-        release(edges.sparkSession)
+    rounds = []
+    while edges.count() > most:
+        turn = F.lit(len(rounds))
         both = edges.union(edges.select("b", "a"))
-        up = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("x"), F.least("a", "low").alias("y"))
-        up = cut(up)
-        while True:  # follow the hooks to their ends, four links a step
-            far = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            twice = up.join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y"), (F.coalesce("z", "y") != F.col("y")).alias("moved"))
-            farther = twice.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            jumped = cut(twice.join(farther, "y", "left").select("x", F.coalesce("z", "y").alias("y"), "moved"))
-            up = jumped.select("x", "y")
-            if jumped.where("moved").isEmpty():
-                break
-        labels = cut(labels.join(up, F.col("label") == F.col("x"), "left").select("node", F.coalesce("y", "label").alias("label")))
-        to = up.select(F.col("x").alias("b"), F.col("y").alias("v"))
-        moved = edges.join(up.select(F.col("x").alias("a"), F.col("y").alias("u")), "a").join(to, "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), "b")).alias("low"))
+        own = F.struct(F.xxhash64("a", turn).alias("h"), F.col("a").alias("b"))
+        to = cut(first.select(F.col("a").alias("node"), F.least("low", own)["b"].alias("to")))
+        rounds.append(to)
+        ends = [to.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b")]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
         edges = cut(forest(moved))
-    return labels
+    labels = edges.coalesce(1).mapInArrow(tidy(_labels), "node long, label long")
+    if not rounds:
+        return cut(labels)
+    for to in reversed(rounds):
+        labels = to.join(labels.select(F.col("node").alias("to"), "label"), "to", "left").select("node", F.coalesce("label", "to").alias("label"))
+    smallest = labels.groupBy("label").agg(F.min("node").alias("low"))  # the random order has named the groups
+    return cut(labels.join(smallest, "label").select("node", F.col("low").alias("label")))
 
 
 def _closed(percent: int):
@@ -259,7 +270,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     width: words in a shingle. percent: the least similarity of a link. part: members of each side of a block.
     """
     bounded(docs.sparkSession)
-    release(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(docs.mapInArrow(tidy(_sign(width, hashes, rows)), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"))
     real = signed.where("doc_id is not null and n_shingles > 0")
@@ -267,22 +277,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     # one document for each class, with its bands
     reps = real.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     members = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("i", "key")).select("rep", F.xxhash64("i", "key").alias("band"))
-    sizes = members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
-    stars = cut(members.join(sizes, "band").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
+    # a bucket's smallest member reaches the others in parts of the bucket, so that a hot one is no single task's
+    lows = members.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
+    lows = lows.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    stars = cut(dealt.join(lows, ["band", "salt"]).where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
     sets = sets_of(docs, stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), width)
     links = confirmed(stars, sets, percent)
-    release(docs.sparkSession)
     labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))  # each member's smallest confirmed centre
 
     # families are what the stars join, confirmed or not: every pair that shares a bucket is in one family
     families = components(stars).select(F.col("node").alias("rep"), F.col("label").alias("family"))
-    tagged = families.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("label", "rep").alias("label"))
-    parties = tagged.groupBy("family", "label").agg(F.count("*").alias("n"))
-    open_ = parties.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    # pairs of those linked with the commonest centre and the rest, and within the rest, in blocks of a part of each
-    size = lambda n: F.greatest(F.ceil(n / part), F.lit(1)).cast("int")
-    rows = tagged.join(open_, "family").select("family", "rep", (F.col("label") == F.col("most")).alias("main"), size(F.col("n_most")).alias("km"), size(F.col("n") - F.col("n_most")).alias("kr"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("km")).otherwise(F.col("kr"))).cast("int"))
+    weights = sets.select(F.col("id").alias("rep"), (F.octet_length("items") / 8).cast("long").alias("w"))
+    tagged = families.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(weights, "rep").select("rep", "family", F.coalesce("label", "rep").alias("label"), "w")
+    parties = tagged.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    most = F.max(F.struct("n", "label", "w")).alias("most")
+    open_ = parties.groupBy("family").agg(most, F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1")
+    # pairs of those linked with the commonest centre and the rest, and within the rest, in blocks of a part of each:
+    # of ``part`` members, and fewer where their sets are large
+    size = lambda n, w: F.greatest(F.ceil(n / part), F.ceil(w / (part * SHINGLES)), F.lit(1)).cast("int")
+    open_ = open_.select("family", F.col("most.label").alias("most"), size(F.col("most.n"), F.col("most.w")).alias("km"), size(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("kr"))
+    open_ = open_.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    rows = tagged.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(open_, ["family", "salt"])
+    rows = rows.select("family", "rep", (F.col("label") == F.col("most")).alias("main"), "km", "kr")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "rep"), F.when(F.col("main"), F.col("km")).otherwise(F.col("kr"))).cast("int"))
     across = rows.select("family", "rep", "main", "kr", "own", F.explode(F.expr("sequence(0, if(main, kr, km) - 1)")).alias("other"))
     across = across.select("family", "rep", F.when(F.col("main"), F.col("own") * F.col("kr") + F.col("other")).otherwise(F.col("other") * F.col("kr") + F.col("own")).alias("block"))
     within = rows.where("not main and kr > 1").select("family", "rep", "kr", "own", F.explode(F.expr("sequence(0, kr - 1)")).alias("other")).where("own != other")

@@ -8,6 +8,7 @@ tables, and each word gets a 64-bit hash without a Python object per word.
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,13 +173,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests on one machine, a folder in /tmp is used. Shuffle files
-    that only led here are removed: the written rows replace them.
+    Without that setting a session on one machine (a local master) gets a folder in /tmp; on a cluster it is
+    an error. Shuffle files that only led here are removed: the written rows replace them.
     """
     session = df.sparkSession
     context = session.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = session.conf.get(key, "false")
     session.conf.set(key, "true")
@@ -188,15 +192,6 @@ def cut(df: DataFrame) -> DataFrame:
         session.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop plans that nothing refers to any more, and with them their checkpoints.
-
-    Spark's cleaner acts on what the driver's collector finds; loops of many small jobs would else fill its heap.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def append(df: DataFrame, fields: str, fn, keep: list[str] | None = None) -> DataFrame:
     """The rows of df with columns computed from each Arrow batch.
 
