@@ -22,17 +22,20 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
 
-from skerry.llm.textops import hash_spans, ragged
+from skerry.llm.textops import KEPT, hash_spans, ragged
 
 #: Fixed value: the pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _split = regex.compile(PATTERN)
+#: Bytes beyond which a pre-token is encoded by itself; what fills rows of ids.
+LONG, PAD = 48, 0xFFFF
 
 
 def _byte_letters() -> dict[str, int]:
@@ -161,22 +164,33 @@ class PrefixEncoder:
         out = tuple(reversed(ids))
         if len(holds) > self.memo:
             holds.clear()
-        if len(self.known) > self.memo // 4:
-            self.known.clear()
-        self.known[word] = out
+        if n <= LONG:
+            if len(self.known) > self.memo // 4:
+                self.known.clear()
+            self.known[word] = out
         return out
 
-    def many(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        return [self(w) if w else () for w in words]
+    def many(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pre-tokens at the given places of data, one after another, and how many each has."""
+        raw = data.tobytes()
+        ids = [self(raw[a : a + n]) if n else () for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
 
 class MergeEncoder:
-    """Encodes many pre-tokens at once: in each round every one makes its earliest merge, leftmost first."""
+    """Encodes many pre-tokens at once: in each round every one makes its earliest merge, leftmost first.
+
+    The work of a pre-token grows with the square of its length; those over LONG bytes go to PrefixEncoder,
+    whose work grows with the length. Ids must be below PAD.
+    """
 
     BITS = 20
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
+        if len(vocab.bytes) > PAD:
+            raise ValueError(f"MergeEncoder takes vocabularies of at most {PAD} ids")
+        self.vocab, self.long = vocab, None
         a, b, c = (np.array(x, np.uint32) for x in zip(*vocab.pairs, strict=True))
         keys = a << np.uint32(16) | b
         size, rng = 1 << self.BITS, np.random.default_rng(5)
@@ -204,45 +218,55 @@ class MergeEncoder:
             out[hit] = self.values[t][at[hit]]
         return out
 
-    def many(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        none = np.uint32(0xFFFFFFFF)
-        out: list = [()] * len(words)
-        sizes = np.array([len(w) for w in words])
-        for size in np.unique(sizes[sizes > 0]).tolist():
-            which = np.flatnonzero(sizes == size)
+    def many(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pre-tokens at the given places of data, one after another, and how many each has."""
+        none, pad = np.uint32(0xFFFFFFFF), np.uint32(PAD)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, how many ids each, the ids
+
+        def store(rows: np.ndarray, ids: np.ndarray) -> None:
+            real = ids != pad
+            done.append((rows, real.sum(axis=1), ids[real]))
+
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            self.long = self.long or PrefixEncoder(self.vocab)
+            ids, n = self.long.many(data, starts[long], lengths[long])
+            done.append((long, n, ids))
+        for size in np.unique(lengths[(lengths > 0) & (lengths <= LONG)]).tolist():
+            which = np.flatnonzero(lengths == size)
             step = max(1, (1 << 18) // size)
             for lo in range(0, len(which), step):
                 rows = which[lo : lo + step]
-                ids = self.vocab.of_byte[np.frombuffer(b"".join([words[i] for i in rows.tolist()]), np.uint8)].reshape(len(rows), size)
+                ids = self.vocab.of_byte[data[starts[rows][:, None] + np.arange(size)]]
                 while ids.shape[1] > 1:
                     width = ids.shape[1]
                     to = self._merged(ids[:, :-1], ids[:, 1:])
-                    pad = ids[:, 1:] == 0xFFFF
-                    to[pad] = none
+                    to[ids[:, 1:] == pad] = none
                     at = to.argmin(axis=1)
                     best = to[np.arange(len(rows)), at]
                     idle = best == none
                     if idle.any():
-                        self._store(out, rows[idle], ids[idle])
+                        store(rows[idle], ids[idle])
                         go = ~idle
                         rows, ids, at, best = rows[go], ids[go], at[go], best[go]
                         if not len(rows):
                             break
-                    shifted = np.concatenate([ids[:, 1:], np.full((len(rows), 1), 0xFFFF, np.uint32)], axis=1)
+                    shifted = np.concatenate([ids[:, 1:], np.full((len(rows), 1), pad, np.uint32)], axis=1)
                     col = np.arange(width)
                     ids = np.where(col[None, :] <= at[:, None], ids, shifted)
                     ids[np.arange(len(rows)), at] = best
-                    full = int((ids != 0xFFFF).sum(axis=1).max())
+                    full = int((ids != pad).sum(axis=1).max())
                     ids = ids[:, :full]
                 if len(rows):
-                    self._store(out, rows, ids)
-        return out
-
-    @staticmethod
-    def _store(out: list, rows: np.ndarray, ids: np.ndarray) -> None:
-        n = (ids != 0xFFFF).sum(axis=1).tolist()
-        for i, row, k in zip(rows.tolist(), ids.tolist(), n, strict=True):
-            out[i] = tuple(row[:k])
+                    store(rows, ids)
+        counts = np.zeros(len(lengths), np.int64)
+        for rows, n, _ in done:
+            counts[rows] = n
+        begin = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        for rows, n, ids in done:
+            out[ragged(begin[rows], n)] = ids
+        return out, counts
 
 
 def run_edges(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -292,69 +316,94 @@ def _odd_documents(data: np.ndarray, offsets: np.ndarray, special: list[bytes])
     return np.unique(np.searchsorted(offsets, found, "right") - 1) if len(found) else found
 
 
+#: Classes of bytes in a run: white space, letters, digits, others; above OTHER what the pattern must see.
+SPACE, LETTER, DIGIT, OTHER, HARD = range(5)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[_SPACE] = SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[48:58] = DIGIT
+_CLASS[39] = HARD
+_CLASS[128:] = HARD
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pre-tokens of runs: the runs' bytes together, starts and ends there, and the first one of each run.
+
+    Where a run has ASCII (without apostrophes) and Latin-1 letters only, they are what lies between changes of
+    class; others are given to the pattern.
+    """
+    sizes = ends - starts
+    data = data[ragged(starts, sizes)]
+    edge = np.cumsum(sizes) - sizes
+    kind = _CLASS[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3)
+    latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]
+    kind[latin] = kind[latin + 1] = LETTER
+    first = np.empty(len(data), bool)
+    first[1:] = kind[1:] != kind[:-1]
+    first[edge] = True
+    led = edge[(data[edge] == 32) & (sizes > 1)]
+    first[led + 1] = False
+    hard = np.flatnonzero(np.maximum.reduceat(kind, edge) == HARD)
+    if len(hard):
+        first[ragged(edge[hard], sizes[hard])] = False
+        first[edge[hard]] = True
+        raw, more = data.tobytes(), []
+        for a, n in zip(edge[hard].tolist(), sizes[hard].tolist(), strict=True):
+            text = raw[a : a + n].decode()
+            if not (text[1:] if text[0] == " " else text).isalpha():
+                for p in _split.findall(text):
+                    more.append(a)
+                    a += len(p) if p.isascii() else len(p.encode())
+        first[np.array(more, np.int64)] = True
+    at = np.flatnonzero(first)
+    return data, at, np.append(at[1:], len(data)), np.searchsorted(at, edge)
+
+
 class TextEncoder:
-    """Encodes the documents of a slice. many: encodes a list of distinct pre-tokens."""
+    """Encodes the documents of a slice. many: encodes distinct pre-tokens; memo: runs whose ids are kept."""
 
-    def __init__(self, vocab: Vocabulary, many: Callable[[list[bytes]], list[tuple[int, ...]]], memo: int = 200_000):
+    def __init__(self, vocab: Vocabulary, many: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], memo: int = 300_000):
         self.vocab, self.many, self.memo = vocab, many, memo
-        self.known: dict[int, tuple[int, ...]] = {}  # by the hash of a run
-
-    def _runs(self, runs: list[bytes]) -> list[tuple[int, ...]]:
-        pieces: dict[bytes, int] = {}
-        parts: list[list[int]] = []
-        for run in runs:
-            text = run.decode()
-            if (text[1:] if text[0] == " " else text).isalpha():
-                parts.append([pieces.setdefault(run, len(pieces))])
-            else:
-                parts.append([pieces.setdefault(p.encode(), len(pieces)) for p in _split.findall(text)])
-        ids = self.many(list(pieces))
-        return [ids[p[0]] if len(p) == 1 else tuple(t for i in p for t in ids[i]) for p in parts]
+        # known runs by their sorted hashes: where their ids begin in flat, and how many they are
+        self.hashes, self.begin, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of (not empty) runs, one after another, and how many each has."""
+        data, at, end, head = pieces(data, starts, ends)
+        _, one, which = np.unique(hash_spans(data, at, end), return_index=True, return_inverse=True)
+        ids, n = self.many(data, at[one], (end - at)[one])
+        begin, own = (np.cumsum(n) - n)[which], n[which]
+        return ids[ragged(begin, own)], np.add.reduceat(own, head)
 
     def _slowly(self, text: str) -> np.ndarray:
-        out: list[int] = []
+        out = []
         for part in self.vocab.special_split.split(text) if self.vocab.special_split else [text]:
             if part in self.vocab.special:
-                out.append(self.vocab.special[part])
+                out.append(np.array([self.vocab.special[part]], np.uint32))
             elif part:
-                pieces = [p.encode() for p in _split.findall(part)]
-                distinct = list(dict.fromkeys(pieces))
-                ids = dict(zip(distinct, self.many(distinct), strict=True))
-                for p in pieces:
-                    out += ids[p]
-        return np.array(out, np.uint32)
+                words = [p.encode() for p in _split.findall(part)]
+                n = np.array([len(w) for w in words])
+                out.append(self.many(np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n, n)[0])
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents one after another, and where each document's begin (n + 1 entries)."""
         odd = _odd_documents(data, offsets, [s.encode() for s in self.vocab.special])
         starts = run_edges(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        hashes = hash_spans(data, starts, ends)
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys, known = distinct.tolist(), self.known
-        missing = [i for i, h in enumerate(keys) if h not in known]
-        if missing:
-            raw = data.tobytes()
-            s, e = starts[at].tolist(), ends[at].tolist()
-            dull = set()
-            if len(odd):  # runs of odd documents needn't be valid on their own
-                is_odd = np.zeros(len(offsets) - 1, bool)
-                is_odd[odd] = True
-                dull = set(np.flatnonzero(is_odd[np.searchsorted(offsets, starts[at], "right") - 1]).tolist())
-            todo = [i for i in missing if i not in dull]
-            fresh = dict(zip([keys[i] for i in todo], self._runs([raw[s[i] : e[i]] for i in todo]), strict=True))
-            if dull:  # the same run may also stand in an ordinary document
-                fresh |= {keys[i]: self._plain(raw[s[i] : e[i]]) for i in dull if keys[i] not in fresh and keys[i] not in known}
-            ids = [fresh[h] if h in fresh else known[h] for h in keys]
-            if len(known) + len(fresh) > self.memo:
-                known.clear()
-            known.update(fresh)
-        else:
-            ids = [known[h] for h in keys]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((t for x in ids for t in x), np.uint32, int(lengths.sum()))
-        begin = np.cumsum(lengths) - lengths
-        own = lengths[inverse]
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        distinct, at, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        held = self.hashes[place] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        begin, count, flat = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64), self.flat
+        begin[held], count[held] = self.begin[place[held]], self.count[place[held]]
+        if not held.all():  # runs that need a document's context stand in odd documents only, which are done anew below
+            fresh = np.flatnonzero(~held)
+            ids, n = self._runs(data, starts[at[fresh]], ends[at[fresh]])
+            begin[fresh], count[fresh] = len(flat) + np.cumsum(n) - n, n
+            flat = np.concatenate((flat, ids))
+            self._remember(distinct, begin, count, flat, fresh)
+        own = count[inverse]
         total = np.concatenate(([0], np.cumsum(own)))
         edges = total[np.searchsorted(starts, offsets)]
         out = flat[ragged(begin[inverse], own)]
@@ -366,17 +415,31 @@ class TextEncoder:
             edges = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
         return out, edges
 
-    def _plain(self, run: bytes) -> tuple[int, ...]:
-        return self._runs([run])[0]
+    def _remember(self, hashes: np.ndarray, begin: np.ndarray, count: np.ndarray, flat: np.ndarray, fresh: np.ndarray) -> None:
+        """Adds the fresh ones among the runs of a slice; where that would be too many, only the slice's own stay."""
+        if len(self.hashes) + len(fresh) > self.memo:
+            own = ragged(begin, count)
+            self.hashes, self.begin, self.count, self.flat = hashes, np.cumsum(count) - count, count, flat[own]
+            return
+        at = np.searchsorted(self.hashes, hashes[fresh])
+        self.hashes, self.begin, self.count = (np.insert(a, at, b[fresh]) for a, b in ((self.hashes, hashes), (self.begin, begin), (self.count, count)))
+        self.flat = flat
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> TextEncoder:
     """The encoder of a vocabulary file, one for each Python worker. kind: prefix or merge."""
     vocab = vocabulary(path)
-    if kind == "prefix":
-        return TextEncoder(vocab, PrefixEncoder(vocab).many)
-    return TextEncoder(vocab, MergeEncoder(vocab).many, memo=80_000)
+    return TextEncoder(vocab, (PrefixEncoder if kind == "prefix" or len(vocab.bytes) > PAD else MergeEncoder)(vocab).many)
+
+
+def forget() -> None:
+    """Drops what this module keeps in a worker."""
+    for f in (encoder, vocabulary, _decimals):
+        f.cache_clear()
+
+
+KEPT["bpe"] = forget
 
 
 def tokenised(docs, path: str, kind: str = "prefix"):
@@ -391,7 +454,7 @@ def tokenised(docs, path: str, kind: str = "prefix"):
         decoded = [encode.vocab.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string())]
 
-    return append(docs, "ids array<int>, decoded string", run)
+    return append(docs, "ids array<int>, decoded string", run, own="bpe")
 
 
 def digests(docs, path: str, kind: str = "prefix"):
@@ -414,7 +477,7 @@ def digests(docs, path: str, kind: str = "prefix"):
             of_text.append(hashlib.sha256(encode.vocab.decode(own).decode("utf-8", "replace").encode()).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)]
 
-    return append(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return append(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", run, own="bpe")
 
 
 @lru_cache(maxsize=2)

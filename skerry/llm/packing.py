@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.bpe import encoder
-from skerry.llm.textops import bounded, column_bytes, cut, slices, tidy
+from skerry.llm.textops import BLOCK, bounded, column_bytes, cut, slices, tidy
 
 
 def best_two_fit(counts: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -92,7 +92,7 @@ def _cut_pieces(path: str, size: int, end: int):
     def run(batches):
         encode, seen, pid = encoder(path, "merge"), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=2 * BLOCK):
                 ids, edges = encode(*column_bytes(part.column("text")))
                 rows: list[tuple] = []
                 for i, (doc, a, b) in enumerate(zip(part.column("doc_id").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2) -> DataFram
     """
     bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = cut(rows.mapInArrow(tidy(_cut_pieces(path, size, end)), "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"))
+    pieces = cut(rows.mapInArrow(tidy(_cut_pieces(path, size, end), "bpe"), "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"))
     counts = pieces.groupBy("pid", "length").agg(F.count("*").alias("n"))
     histogram = np.zeros(size + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,22 +145,36 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(4 * BLOCK))
 
 
-def tidy(run):
-    """A function for mapInArrow that gives unused memory back when its task ends: workers live on, and
-    executors of several operators in turn would otherwise keep the largest share of each."""
+#: By name: what drops the state that a module keeps in a worker between tasks.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def trim() -> None:
+    """Gives unused memory of this process back."""
+    import ctypes
+
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run, own: str = ""):
+    """A function for mapInArrow that gives unused memory back when its task ends, and first drops what other
+    modules than ``own`` keep: workers live on, and executors of several operators in turn would otherwise
+    hold the largest share of each."""
 
     def go(batches):
+        for name, forget in KEPT.items():
+            if name != own:
+                forget()
         try:
             yield from run(batches)
         finally:
-            import ctypes
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return go
 
@@ -192,12 +206,12 @@ def cut(df: DataFrame) -> DataFrame:
         session.conf.set(key, before)
 
 
-def append(df: DataFrame, fields: str, fn, keep: list[str] | None = None) -> DataFrame:
+def append(df: DataFrame, fields: str, fn, keep: list[str] | None = None, own: str = "", only=None) -> DataFrame:
     """The rows of df with columns computed from each Arrow batch.
 
     fields: the new columns as a DDL string; a column of df with the same name is replaced.
     fn: takes a RecordBatch of at most about BLOCK * 8 bytes of text, returns a list of arrays.
-    keep: the columns of df to hand on (default: all).
+    keep: the columns of df to hand on (default: all). own: see tidy. only: tells of a batch which rows count.
     """
     from pyspark.sql import types as T
 
@@ -210,12 +224,12 @@ def append(df: DataFrame, fields: str, fn, keep: list[str] | None = None) -> Dat
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch if only is None else batch.filter(pa.array(only(batch)))):
                 arrays = [part.column(part.schema.get_field_index(n)) for n in kept_names]
                 yield pa.RecordBatch.from_arrays([*arrays, *fn(part)], to)
 
     bounded(df.sparkSession)
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, own), schema)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Operators against brute force, on small fixtures with nulls, empty texts, ties and repeated rows."""
 
+import time
 import collections
 import hashlib
 import math
@@ -425,3 +426,50 @@ def test_toxicity(spark):
 
 def test_queries_are_named_after_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_bpe_unbroken_texts():
+    """A long pre-token costs in proportion to its length, with either encoder."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary_path())
+    letters = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8).tobytes().decode()
+    texts = [letters, "=" * 100_000, "a" * 49 + " " + "ß" * 3000, "don't" * 500, " " * 5000 + "x", "Grüße×2÷3 µ ª"]
+    for kind in ("prefix", "merge"):
+        encode = bpe.encoder(vocabulary_path(), kind)
+        began = time.process_time()
+        ids, edges = encode(*column_bytes(pa.array(texts)))
+        assert time.process_time() - began < 20
+        for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+            assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_memory_of_runs():
+    encode = bpe.TextEncoder(bpe.vocabulary(vocabulary_path()), bpe.encoder(vocabulary_path(), "merge").many, memo=50)
+    plain = bpe.encoder(vocabulary_path(), "prefix")
+    rng = np.random.default_rng(4)
+    for _ in range(8):
+        texts = [" ".join(str(x) for x in rng.integers(0, 90, 30)) for _ in range(3)]
+        assert encode(*column_bytes(pa.array(texts)))[0].tolist() == plain(*column_bytes(pa.array(texts)))[0].tolist()
+        assert len(encode.hashes) <= 100
+
+
+def test_bpe_digests(docs, empty):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary_path())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in bpe.digests(docs, vocabulary_path()).collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    assert bpe.digests(empty, vocabulary_path()).count() == 0
+
+
+def test_merge_encoder_refuses_vocabularies_beyond_its_ids():
+    class Large:
+        bytes = [b""] * 70_000
+
+    with pytest.raises(ValueError):
+        bpe.MergeEncoder(Large())
