@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, slices, tidy
+from skerry.llm.textops import BLOCK, LOWER, U64, IdFilter, bounded, column_bytes, cut, find_words, hash_rows, hash_spans, mix64, restored, slices, tidy
 
 
 #: Parts of a group that a join on the group is dealt by, and the mean shingles of a block's members beyond which it has fewer.
@@ -325,5 +325,5 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     gone = cut(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone_")).distinct())
     bits = IdFilter(gone)
-    asked = bits.rows(docs, "doc_id", True).join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
-    return bits.rows(docs, "doc_id", False).union(asked)
+    asked = bits.rows(docs, "doc_id", True).select(F.col("doc_id").cast("long").alias("gone_"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+    return bits.rows(docs, "doc_id", False).union(restored(asked.join(gone, "gone_", "left_anti"), docs.columns))

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy step covers at most (a single longer word or document may exceed it).
@@ -206,6 +207,16 @@ def cut(df: DataFrame) -> DataFrame:
         session.conf.set(key, before)
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and row_ with all columns of docs, so that an operator's own columns can't clash with them."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+
+
+def restored(found: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns that nested() put away, those in new with other values."""
+    return found.select(*[new.get(c, F.col(f"row_.`{c}`")).alias(c) for c in columns])
+
+
 def append(df: DataFrame, fields: str, fn, keep: list[str] | None = None, own: str = "", only=None) -> DataFrame:
     """The rows of df with columns computed from each Arrow batch.
 

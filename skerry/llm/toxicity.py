@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.textops import append, bounded, cut, slices, tidy
+from skerry.llm.textops import append, bounded, cut, nested, restored, slices, tidy
 
 #: Letters that look like Latin ones, and signs read as letters inside words.
 LOOK_ALIKES = {
@@ -168,4 +168,4 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def reject(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
     """The documents that score below the threshold, with their columns."""
-    return score(docs, lexicon).where(F.col("toxicity") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(score(nested(docs), lexicon).where(F.col("toxicity") < threshold), docs.columns)

@@ -372,6 +372,32 @@ def test_repeated_passages(docs, empty):
     assert passages.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [300, 3000])
+def test_heavy_buckets_are_cut_again(spark, bucket):
+    """Windows that share a frequent group, and one window that many documents share."""
+    rng = np.random.default_rng(11)
+    hot = [f"h{i}" for i in range(4)]
+    rows = []
+    for i in range(40):
+        w = [f"r{x}" for x in rng.integers(0, 9, 25)] + hot + [f"s{x}" for x in rng.integers(0, 9, 25)]
+        w += [f"p{j}" for j in range(24)] if i % 2 else rows[-2][1].split()[:30] if i > 2 else []
+        rows.append((i, " ".join(w)))
+    rows.append((7, rows[7][1]))
+    seen, want = {}, []
+    for i, t in sorted(rows):
+        w = t.split()
+        gone = set()
+        for a in range(len(w) - 19):
+            if seen.setdefault(tuple(w[a : a + 20]), (i, a)) < (i, a):
+                gone.update(range(a, a + 20))
+        want.append((i, len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 found", "2 doc_", "3 n_words", "'k' key_", "4 row_").repartition(8)
+    got = passages.dedup(docs, bucket=bucket)
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in got.collect()) == sorted(want)
+    first = got.first()
+    assert (first["found"], first["doc_"], first["key_"], first["row_"]) == (1, 2, "k", 4)
+
+
 def test_near_duplicates(docs, empty):
     sets = {}
     for i, t in ROWS + MORE:
