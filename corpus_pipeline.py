@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 
 from skerry.llm import neardup, packing, passages, pii, toxicity
 from skerry.llm.queries import vocabulary_path
-from skerry.llm.textops import read_table
+from skerry.llm.textops import cut, nested, read_table, restored
 
 #: The key of the pseudonyms; a deployment passes its own.
 PII_KEY = b"a key for tests"
 ORACLE_SQL = None
 
 
-def _rewritten(docs: DataFrame, text) -> DataFrame:
-    """docs with another text and n_chars after it, in the order of its columns."""
+def _rewritten(found: DataFrame, docs: DataFrame, text) -> DataFrame:
+    """The columns of docs with another text, and n_chars after it."""
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
-    return docs.withColumns(new)
+    return restored(found, docs.columns, **new)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +39,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words that stand earlier are cut; other documents keep their text as it is."""
-    found = passages.dedup(docs, k=20)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return _rewritten(found, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = passages.dedup(nested(docs), k=20)
+    return _rewritten(found, docs, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms."""
-    found = pii.pseudonymise(docs, PII_KEY)
-    return _rewritten(found, F.col("text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _rewritten(pii.pseudonymise(nested(docs), PII_KEY), docs, F.col("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +63,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. Each one's rows are written, so that the next, which may read them several times, runs nothing again."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
