@@ -908,11 +908,14 @@ def media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
         data, offsets = column_bytes(batch.column(batch.schema.get_field_index("text")))
         raw = data.tobytes()
         cols: list[list] = [[] for _ in range(8)]
+        seen: dict[bytes, tuple] = {}  # equal texts have equal values
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            stored = store(padded(raw[a:b]))
-            samples = load(stored)
-            back = samples.tobytes()
-            row = (b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples), stored)
+            row = seen.get(raw[a:b])
+            if row is None:
+                stored = store(padded(raw[a:b]))
+                samples = load(stored)
+                back = samples.tobytes()
+                row = seen[raw[a:b]] = (b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples), stored)
             for c, x in zip(cols, row, strict=True):
                 c.append(x)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
