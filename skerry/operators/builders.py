@@ -101,6 +101,7 @@ class Hnsw:
         u = 1 - np.random.default_rng(seed).random(n)
         self.level = np.floor(-np.log(u) * (m_l or 1 / np.log(m))).astype(int) if n else np.zeros(0, int)
         self.layers: list[dict[int, list[int]]] = []
+        self.visits = self.costs = 0  # of all searches so far
         self.entry = -1
         for p in range(n):
             self._insert(p, m, ef, alpha)
@@ -108,7 +109,10 @@ class Hnsw:
     def _search(self, layer: int, q: np.ndarray, starts: list[int], ef: int, own: int = -1) -> list[tuple[float, int]]:
         graph = _Layer(self.layers[layer])
         near = sorted(zip(distances(self.metric, q, self.x[starts]).tolist(), starts, strict=True))[:ef]
-        return beam_search(graph, self.x, q, [i for _, i in near], ef, self.metric, own=own)[0]
+        front, visited, cost = beam_search(graph, self.x, q, [i for _, i in near], ef, self.metric, own=own)
+        self.visits += len(visited)
+        self.costs += cost + len(starts) - len(near)
+        return front
 
     def _insert(self, p: int, m: int, ef: int, alpha: float) -> None:
         top = len(self.layers) - 1
@@ -133,7 +137,8 @@ class Hnsw:
             self.entry = p
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        """The k nearest found, and all that equal the k-th distance."""
+        """The k nearest found, and all that equal the k-th distance. visits and costs then count this search."""
+        self.visits = self.costs = 0
         if self.entry < 0:
             return []
         starts = [self.entry]

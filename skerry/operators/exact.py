@@ -23,10 +23,14 @@ def _size(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its size is known to be below MOST_BROADCAST."""
+    return F.broadcast(df) if _size(df) <= MOST_BROADCAST else df
+
+
 def pairs(queries: DataFrame, base: DataFrame, metric: str = "l2sq") -> DataFrame:
     """qid, id, dist for every query and vector. queries: qid, qv; base: id, vec."""
-    side = F.broadcast(queries) if _size(queries) <= MOST_BROADCAST else queries
-    return base.crossJoin(side).select("qid", "id", METRICS[metric](F.col("qv"), F.col("vec")).alias("dist"))
+    return base.crossJoin(small(queries)).select("qid", "id", METRICS[metric](F.col("qv"), F.col("vec")).alias("dist"))
 
 
 def top_k(scored: DataFrame, k: int, ties: bool = False) -> DataFrame:
@@ -37,10 +41,15 @@ def top_k(scored: DataFrame, k: int, ties: bool = False) -> DataFrame:
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
+    """Beyond the size that is broadcast, blocks of queries and vectors are multiplied."""
+    if _size(queries) > MOST_BROADCAST and metric in ("l2sq", "mips", "cosine"):
+        return blocked_knn(queries, base, k, metric)
     return top_k(pairs(queries, base, metric), k)
 
 
 def within(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2sq") -> DataFrame:
+    if _size(queries) > MOST_BROADCAST and metric in ("l2sq", "mips", "cosine"):
+        return blocked_within(queries, base, radius, metric)
     return pairs(queries, base, metric).where(F.col("dist") <= radius)
 
 
@@ -53,6 +62,23 @@ def blocked_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2sq
     """knn() by matrix products. Queries travel in blocks, each of which meets every partition of the
     vectors; a block keeps its k best of each partition, so that k rows a query and partition are shuffled."""
 
+    def near(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = min(k, d.shape[1])
+        kth = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+        return np.nonzero(d <= kth + 1e-9 * (1 + np.abs(kth)))
+
+    return top_k(_blocked(queries, base, near, metric, block), k)
+
+
+def blocked_within(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2sq", block: int = 2048) -> DataFrame:
+    """within() by matrix products: pairs near the radius by the product are computed anew and compared exactly."""
+    near = lambda d: np.nonzero(d <= radius + 1e-9 * (1 + abs(radius) + np.abs(d)))
+    return _blocked(queries, base, near, metric, block).where(F.col("dist") <= radius)
+
+
+def _blocked(queries: DataFrame, base: DataFrame, pick, metric: str, block: int) -> DataFrame:
+    """qid, id, dist of the pairs that ``pick`` takes from each block's matrix of distances."""
+
     def packed(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, block):
@@ -78,14 +104,12 @@ def blocked_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2sq
                     near = -(q @ x.T)
                 else:
                     near = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
-                n = min(k, len(own))
-                kth = np.partition(near, n - 1, axis=1)[:, n - 1 : n]
-                i, j = np.nonzero(near <= kth + 1e-9 * (1 + np.abs(kth)))
+                i, j = pick(near)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(own[j]), pa.array(_exact(q[i], x[j], metric))], ["qid", "id", "dist"])
 
     left = queries.mapInArrow(packed, "qids binary, qvs binary")
     right = base.mapInArrow(packed_base, "ids binary, vecs binary")
-    return top_k(right.crossJoin(left).mapInArrow(best, "qid long, id long, dist double"), k)
+    return right.crossJoin(left).mapInArrow(best, "qid long, id long, dist double")
 
 
 def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:

@@ -54,10 +54,14 @@ def edge_bytes(edges: DataFrame) -> DataFrame:
 
 
 def offsets(edges: DataFrame) -> DataFrame:
-    """src, n, first: degrees and their exclusive prefix sums. The window over all vertices runs on one row a vertex."""
+    """src, n, first: degrees and their exclusive prefix sums: within ranges of vertices, plus the totals of the
+    ranges before, of which there is one row a partition."""
     n = edges.groupBy("src").agg(F.count("*").alias("n"))
-    before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select("src", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("first"))
+    ranged = cut(n.repartitionByRange("src").withColumn("part", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
+    within = ranged.select("src", "n", "part", before(Window.partitionBy("part").orderBy("src")).alias("own"))
+    return within.join(F.broadcast(totals), "part").select("src", "n", (F.col("own") + F.col("base")).cast("long").alias("first"))
 
 
 def descent_candidates(edges: DataFrame, most: int, seed: int = 7) -> DataFrame:

@@ -8,9 +8,9 @@ Nothing is broadcast that grows with the data.
 
 from __future__ import annotations
 
+import io
 import json
 import math
-import pickle
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators import builders, kernels
 from skerry.operators.exact import _exact, top_k
+from skerry.operators.lineage import cut
 
 KINDS = ("vamana", "hnsw", "hcnng", "descent")
 
@@ -66,6 +67,34 @@ def _build(p: BuildParams, x: np.ndarray):
     return builders.Hnsw(x, max(2, p.degree // 2), p.beam, a, None, p.metric, p.seed)
 
 
+def packed(graph: list[np.ndarray] | builders.Hnsw) -> bytes:
+    """A graph as plain arrays: for each layer its vertices, their degrees and all neighbours."""
+    layers = graph.layers if isinstance(graph, builders.Hnsw) else [dict(enumerate(graph))]
+    arrays = {"entry": np.array([graph.entry if isinstance(graph, builders.Hnsw) else -2])}
+    for i, layer in enumerate(layers):
+        arrays[f"vertex{i}"] = np.fromiter(layer, np.int64, len(layer))
+        arrays[f"degree{i}"] = np.array([len(g) for g in layer.values()], np.int64)
+        arrays[f"to{i}"] = np.concatenate([np.asarray(g, np.int64) for g in layer.values()]) if layer else np.zeros(0, np.int64)
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def unpacked(data: bytes, x: np.ndarray, metric: str) -> list[np.ndarray] | builders.Hnsw:
+    """The graph of packed(), over the vectors x. Nothing in the data is run."""
+    with np.load(io.BytesIO(data), allow_pickle=False) as arrays:
+        entry, layers = int(arrays["entry"][0]), []
+        for i in range((len(arrays.files) - 1) // 3):
+            parts = np.split(arrays[f"to{i}"], np.cumsum(arrays[f"degree{i}"])[:-1]) if len(arrays[f"degree{i}"]) else []
+            layers.append(dict(zip(arrays[f"vertex{i}"].tolist(), parts, strict=True)))
+    if entry == -2:
+        return [layers[0][i] for i in range(len(layers[0]))]
+    graph = builders.Hnsw.__new__(builders.Hnsw)
+    graph.x, graph.metric, graph.entry, graph.visits, graph.costs = x, metric, entry, 0, 0
+    graph.layers = [{v: g.tolist() for v, g in layer.items()} for layer in layers]
+    return graph
+
+
 class Index:
     """shards: DataFrame(shard, ids, vecs, graph) of packed arrays."""
 
@@ -74,17 +103,17 @@ class Index:
 
     @staticmethod
     def build(vectors: DataFrame, params: BuildParams = BuildParams()) -> Index:
-        """vectors: id, vec."""
+        """vectors: id, vec. Built at once and written as a checkpoint, which all searches read."""
         n = max(1, math.ceil(vectors.count() / params.shard))
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id", kind="stable")
             x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
             ids = pdf["id"].to_numpy().astype(np.int64)
-            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "ids": [ids.tobytes()], "vecs": [x.tobytes()], "graph": [pickle.dumps(_build(params, x))]})
+            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "ids": [ids.tobytes()], "vecs": [x.tobytes()], "graph": [packed(_build(params, x))]})
 
         dealt = vectors.where("id is not null and vec is not null").select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"))
-        return Index(dealt.groupBy("shard").applyInPandas(one, "shard int, ids binary, vecs binary, graph binary"), params)
+        return Index(cut(dealt.groupBy("shard").applyInPandas(one, "shard int, ids binary, vecs binary, graph binary")), params)
 
     def save(self, path: str) -> None:
         """Parquet, with the parameters as a one-row table beside it."""
@@ -95,10 +124,12 @@ class Index:
     def load(spark: SparkSession, path: str) -> Index:
         return Index(spark.read.parquet(f"{path}/shards"), BuildParams(**json.loads(spark.read.json(f"{path}/params").first()["params"])))
 
-    def _each(self, queries: DataFrame, schema: str, use, block: int = 512) -> DataFrame:
-        """use(ids, x, graph, qid, q) on every shard and query."""
+    def _each(self, queries: DataFrame, schema: str, use) -> DataFrame:
+        """use(ids, x, graph, qid, q) on every shard and query. Queries travel in blocks of as many rows as a shard
+        has, so that a shard is sent to Python about as often as the queries are."""
+        block, metric = max(512, self.params.shard), self.params.metric
 
-        def packed(batches):
+        def blocks(batches):
             for pdf in batches:
                 for lo in range(0, len(pdf), block):
                     part = pdf.iloc[lo : lo + block]
@@ -108,14 +139,14 @@ class Index:
             held = (None, None)
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    if held[0] != row.shard:
-                        held = (row.shard, pickle.loads(row.graph))
                     ids, qid = np.frombuffer(row.ids, np.int64), np.frombuffer(row.qids, np.int64)
                     x, qs = np.frombuffer(row.vecs, np.float64).reshape(len(ids), -1), np.frombuffer(row.qvs, np.float64).reshape(len(qid), -1)
+                    if held[0] != row.shard:
+                        held = (row.shard, unpacked(row.graph, x, metric))
                     frames = [use(ids, x, held[1], int(i), q) for i, q in zip(qid, qs, strict=True)]
                     yield pd.concat(frames, ignore_index=True)
 
-        return self.shards.crossJoin(queries.select("qid", "qv").mapInPandas(packed, "qids binary, qvs binary")).mapInPandas(run, schema)
+        return self.shards.crossJoin(queries.select("qid", "qv").mapInPandas(blocks, "qids binary, qvs binary")).mapInPandas(run, schema)
 
     def search(self, queries: DataFrame, k: int = 10, beam: int = 64, limit: int | None = None, degree: int | None = None, rerank: int = 1) -> DataFrame:
         """qid, id, dist, rank, n_visited, n_cmps. queries: qid, qv. rerank: a longer short list is ranked anew."""
@@ -125,12 +156,14 @@ class Index:
 
         def use(ids, x, graph, qid, q):
             if isinstance(graph, builders.Hnsw):
-                front, visited, cost = graph.search(q, k * rerank, beam), [], 0
+                front = graph.search(q, k * rerank, beam)
+                n_visited, cost = graph.visits, graph.costs
             else:
                 front, visited, cost = kernels.beam_search(graph, x, q, [0], beam, metric, limit, degree)
+                n_visited = len(visited)
             own = [i for _, i in front[: max(k, k * rerank)]]
             dist = _exact(np.repeat(q[None, :], len(own), axis=0), x[own], metric)
-            return pd.DataFrame({"qid": qid, "id": ids[own], "dist": dist, "n_visited": len(visited), "n_cmps": cost})
+            return pd.DataFrame({"qid": qid, "id": ids[own], "dist": dist, "n_visited": n_visited, "n_cmps": cost})
 
         return top_k(self._each(queries, "qid long, id long, dist double, n_visited long, n_cmps long", use), k)
 
@@ -154,7 +187,7 @@ class Index:
         def run(batches):
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    ids, graph = np.frombuffer(row.ids, np.int64), pickle.loads(row.graph)
+                    ids, graph = np.frombuffer(row.ids, np.int64), unpacked(row.graph, None, "")
                     lists = [np.array(graph.layers[0].get(i, []), int) for i in range(len(ids))] if isinstance(graph, builders.Hnsw) else graph
                     n = [len(g) for g in lists]
                     yield pd.DataFrame({"src": np.repeat(ids, n), "dst": ids[np.concatenate(lists)] if sum(n) else ids[:0], "rank": np.concatenate([np.arange(1, i + 1) for i in n]) if sum(n) else np.zeros(0, int)})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.metrics import bit_words
+from skerry.operators.ranks import at_rank
 
 
 def _double(vec: str) -> Column:
@@ -49,8 +50,8 @@ class Symmetric:
     def fit(df: DataFrame, bits: int = 8, vec: str = "vec", trim: bool = False) -> Symmetric:
         if trim:  # exact ranks of the smallest and largest coordinate of each vector
             n = df.count()
-            lo = df.select(F.array_min(_double(vec)).alias("x")).orderBy("x").offset(int(1e-4 * n)).first()[0]
-            hi = df.select(F.array_max(_double(vec)).alias("x")).orderBy("x").offset(min(n - 1, int((1 - 1e-4) * n))).first()[0]
+            lo = at_rank(df, F.array_min(_double(vec)), int(1e-4 * n))
+            hi = at_rank(df, F.array_max(_double(vec)), min(n - 1, int((1 - 1e-4) * n)))
         else:
             lo, hi = df.select(F.min(F.array_min(_double(vec))), F.max(F.array_max(_double(vec)))).first()
         bound = max(hi, -lo, 0.0) or 1.0
@@ -63,7 +64,7 @@ class Symmetric:
 
 def quantile(df: DataFrame, rank: int, vec: str = "vec") -> float:
     """The coordinate of an exact rank (from 0) among all coordinates."""
-    return df.select(F.explode(_double(vec)).alias("x")).orderBy("x").offset(rank).first()[0]
+    return at_rank(df.select(F.explode(_double(vec)).alias("x")), "x", rank)
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@ import __spark_entry__ as entry
 
 
 def test_entry_runs(spark):
-    assert entry.entry(spark).count() == 200
+    assert entry.entry(spark).count() == 500 // 20 * 10
 
 
 def test_sql_belongs_to_queries():
