@@ -405,6 +405,51 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 150
 
 
+@pytest.mark.parametrize("lengths", ["unit", "unequal"])
+def test_neighbours_recall(spark, lengths):
+    """Recall against brute force, with equal and with unequal lengths, and that fewer distances than all are computed."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "unequal":
+        x *= np.exp(rng.normal(0, 1, 4000))[:, None]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<float>, key string")
+    x = x.astype(np.float64)
+    hit = total = 0
+    got = collections.defaultdict(set)
+    for r in ann.neighbours(df, every=40).collect():
+        got[r.query_id].add(r.vec_id)
+        assert abs(np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum()) - r.score) < 1e-12
+    assert sorted(got) == list(range(0, 4000, 40))
+    for q, own in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(own & set(np.argsort(d, kind="stable")[:10].tolist()))
+        total += 10
+    assert hit >= 0.9 * total
+    index = ann._Tables(24, 8, "<f8")
+    unit = index.unit(x)
+    buckets, order = index.buckets(unit), index.order(unit[::40])
+    classes = spark.createDataFrame([(bytes(v.tobytes()), i % 40 == 0, i) for i, v in enumerate(x)], "vec binary, asks boolean, key long")
+    probes = ann.fitted(classes, index, 10, 0.95)
+    seen = np.mean([np.isin(buckets, o[:probes]).sum() for o in order])
+    assert seen < (1 if lengths == "unit" else 2) * len(x)
+
+
+def test_neighbours_of_several_dimensions(spark, empty):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(60)] + [(100, []), (101, None), (102, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(df, every=10).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    for q in range(0, 60, 10):
+        same = [(np.sqrt(((np.array(v) - np.array(rows[q][1])) ** 2).sum()), i) for i, v in rows[:60] if len(v) == len(rows[q][1]) and i != q]
+        assert len(got[q]) == 10 and len({i for _, i in got[q]} & {i for _, i in sorted(same)[:10]}) >= 8
+    assert ann.neighbours(df.limit(0), every=10).count() == 0
+
+
 def test_bpe_is_exact(docs):
     from tokenizers import Tokenizer
 
