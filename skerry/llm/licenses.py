@@ -38,6 +38,10 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by sa 4 0": "cc-by-sa",
+    "licensed under cc by nd 4 0": "cc-by-nd",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
+    "licensed under cc by 4 0": "cc-by",
     "licensed under a creative commons attribution 4 0 international license": "cc-by",
     "licensed under the eclipse public license": "epl",
     "licensed under the boost software license version 1 0": "bsl",

@@ -62,15 +62,21 @@ class Feistel:
         return left * side + right
 
     def permute(self, x: int, n: int, tweak: bytes, ok: Callable[[int], bool] = lambda x: True, back: bool = False) -> int:
-        """The image of x; cycle walking stays below n and within ok, which must hold for x."""
-        side = 1
-        while side * side < n:
-            side *= 2
-        while side > 1 and (side - 1) * (side - 1) >= n:
-            side = _root(n)
+        """The image of x, which ok must hold for: the next value that ok holds for on the one cycle through
+        range(n) that the Feistel network's order makes. So only a value without any other is its own image."""
+        side = _root(n)
+
+        def walk(y: int, undo: bool) -> int:
+            while True:
+                y = self._once(y, side, tweak, undo)
+                if y < n:
+                    return y
+
+        y = walk(x, False)
         for _ in range(100_000):
-            x = self._once(x, side, tweak, back)
-            if x < n and ok(x):
+            y = (y - 1 if back else y + 1) % n
+            x = walk(y, True)
+            if ok(x):
                 return x
         raise ValueError("no image found: ok() holds for too few values")
 
@@ -300,7 +306,7 @@ PATTERNS = {
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "hex": r"\b(?:[0-9a-f]{40}|[0-9A-F]{40})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\+[2-9]\d(?:[ .-]?\d){6,12})(?!\d)",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d\d [2-9]\d\d \d{4}|\+[2-9]\d(?:[ .-]?\d){6,12})(?!\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)",

@@ -7,9 +7,11 @@ short fixed list. One automaton finds stems and exception phrases in one pass
 over the folded text; a stem inside an exception phrase doesn't count. The
 summed weight is normalised by the length of the text.
 
-Rows: null text counts as empty (score 0). Repeated rows get equal scores. A
-label that is null, or whose document is absent, teaches nothing. Without
-labels only the fixed list is used.
+Rows: null text counts as empty (score 0). Texts of any length are scored whole.
+Repeated rows get equal scores. A label that is null, or whose document is
+absent, teaches nothing. Without labels only the fixed list is used. An empty
+table gives an empty one; columns named as results are replaced, and reject()
+leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -111,19 +113,20 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t, 1] for t in terms], pa.int64()), pa.array([counts[t, 0] for t in terms], pa.int64())], ["term", "bad", "good"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int = 4_000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Lexicon:
     """Learn a lexicon from labelled documents.
 
     sample: how many labelled rows are used at most, the bound of the fit: those with the smallest hash of
-    doc_id. most: how many stems the lexicon has at most. A stem must be toxic four times in five, and its
-    log-likelihood ratio must be beyond what the best of as many random stems would reach.
-    Rows that held_out() marks are never used.
+    doc_id. A stem must be toxic four times in five, and its log-likelihood ratio must be beyond what the best
+    of as many random stems would reach. Rows that held_out() marks are never used; documents with both labels
+    teach nothing.
     """
     bounded(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").alias("id_"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("id_").isNotNull() & ~held_out("id_"))
-        .orderBy(F.xxhash64("id_"), "id_", "toxic").limit(sample).dropDuplicates(["id_"])
+        .groupBy("id_").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
+        .orderBy(F.xxhash64("id_"), "id_").limit(sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).select("text", "toxic")
     counts = rows.mapInArrow(tidy(_features), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -142,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     seen = counts.where("term != ''").select("term", "bad", g2.alias("g2"), F.log(a / b).alias("odds"))
     tried = seen.count()
     found = seen.where((F.col("g2") >= 2 * math.log(max(tried, 1)) + 3) & (F.col("odds") >= math.log(4)))
-    rows = found.orderBy(F.desc("g2"), "term").limit(most).collect()
+    rows = found.orderBy(F.desc("g2"), "term").collect()  # as many as the sample supports
     # of stems found in the same documents the longest
     support = {r["term"]: r["bad"] for r in rows}
     shadowed = {t[:k] for t in support for k in range(4, len(t)) if support.get(t[:k], 0) and support[t] >= 0.95 * support[t[:k]]}

@@ -617,3 +617,125 @@ def test_merge_encoder_refuses_vocabularies_beyond_its_ids():
 
     with pytest.raises(ValueError):
         bpe.MergeEncoder(Large())
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 26, 1000])
+def test_permutations_have_no_fixed_points(n):
+    f = pii.Feistel(b"k")
+    image = [f.permute(x, n, b"t") for x in range(n)]
+    assert sorted(image) == list(range(n)) and all(a != x for x, a in enumerate(image))
+    assert [f.permute(y, n, b"t", back=True) for y in image] == list(range(n))
+    even = lambda x: x % 2 == 0
+    some = [f.permute(x, n, b"t", even) for x in range(0, n, 2)]
+    assert sorted(some) == list(range(0, n, 2)) and (n < 4 or all(a != x for x, a in zip(range(0, n, 2), some)))
+
+
+def test_pii_planted_values_are_replaced(spark):
+    """Brute force over planted values: each is gone, its like stands there, equal ones stay linked, clean text stays."""
+    rng = np.random.default_rng(12)
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    card = lambda d: d + str(pii.luhn(d))
+    planted = [f"{a}@x.org" for a in "abcdefghijklmnopqrstuvwxyz"]
+    planted += [f"{rng.integers(2, 10)}{digits(2)} {rng.integers(2, 10)}{digits(2)} {digits(4)}" for _ in range(20)]
+    planted += [f"({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(20)]
+    planted += [card(f"4{digits(14)}") for _ in range(20)]
+    planted += [f"{d:02d}/{m:02d}/{y}" for d, m, y in zip(rng.integers(1, 13, 20), rng.integers(1, 13, 20), rng.integers(1950, 2050, 20))]
+    planted += [".".join(map(str, rng.integers(0, 256, 4))) for _ in range(20)]
+    planted += ["BE68 5390 0754 7034"]
+    behind = ["", " FOR me", " 12", " 08/2027 then"]
+    rows = [(i, f"so {v}{behind[0] if '@' in v or '/' in v or '.' in v or '-' in v else behind[i % 4] if len(v) > 14 else ''} and {v} again", "own", 7) for i, v in enumerate(planted)]
+    clean = [(1000, None, "own", 7), (1001, "", "own", 7), (1002, "no 12 values 2020 here " * 5000, "own", 7), (1003, "x" * 1_000_000, "own", 7)]
+    df = spark.createDataFrame(rows + clean, "doc_id long, text string, key string, n_pii int")
+    out = {r.doc_id: r for r in pii.pseudonymise(df, b"k").collect()}
+    for (i, text, _, _), v in zip(rows, planted, strict=True):
+        new = out[i].text
+        assert v not in new and out[i].n_pii == 2 and out[i].key == "own", (text, new)
+        if v.count(".") == 3:  # addresses have numbers of other lengths
+            a, b = new.removeprefix("so ").removesuffix(" again").split(" and ")
+            assert a == b and all(0 <= int(x) <= 255 for x in a.split("."))
+            continue
+        assert [c if not c.isalnum() else "9" for c in new] == [c if not c.isalnum() else "9" for c in text]
+        assert new.count(new[3 : 3 + len(v)]) == 2
+    for i, text, _, _ in clean:
+        assert out[i].text == text and out[i].n_pii == 0
+    back = pii.pseudonymise(spark.createDataFrame([(i, r.text) for i, r in out.items()], "doc_id long, text string"), b"k", back=True)
+    assert {r.doc_id: r.text for r in back.collect()} == {i: t for i, t, _, _ in rows + clean}
+    assert pii.pseudonymise(df.limit(0), b"k").count() == 0
+
+
+def test_licenses_against_edit_distances(spark):
+    """Whether a notice is found: by edit distances of all its places, computed plainly."""
+    rng = np.random.default_rng(13)
+    words = [f"word{i}" for i in range(30)]
+    notices = list(licenses.NOTICES)
+
+    def edited(s, k):
+        s = list(s)
+        for _ in range(k):
+            at, kind = int(rng.integers(0, len(s))), rng.integers(0, 3)
+            s[at : at + (kind != 1)] = [] if kind == 0 else ["q"]
+        return "".join(s)
+
+    def least(notice, text):  # the fewest edits that turn some substring into the notice
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(notice, 1):
+            before, row[0] = row[0], i
+            for j, d in enumerate(text, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        return min(row)
+
+    rows = []
+    for i in range(60):
+        lead, tail = (" ".join(rng.choice(words, 6)) for _ in "ab")
+        rows.append((i, f"{lead} {edited(notices[i % len(notices)], i % 4)} {tail}"))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        flat = " ".join("".join(c if c.isalnum() else " " for c in text).split())
+        near = {n: least(n, flat) for n in notices}
+        fits = {n for n in notices if near[n] <= licenses.edits_allowed(n)}
+        labels = {licenses.NOTICES[n] for n in fits} | {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {flat} "}
+        own = set(got[i].labels.split(",")) - {""}
+        assert own <= labels and bool(own) == bool(labels), (text, own, labels)
+        if fits:
+            best = min(fits, key=lambda n: near[n])
+            assert min(s.edits for s in got[i].spans) == near[best] or got[i].n_base
+
+
+def test_license_variants(spark):
+    texts = {"licensed under cc by nd 4 0": "cc-by-nd", "Licensed under CC BY-NC 4.0": "cc-by-nc", "licensed under cc-by 4.0": "cc-by", "licensed under cc by nc sa 4 0": "cc-by-nc-sa"}
+    df = spark.createDataFrame(list(enumerate([*texts, "z" * 1_000_000, None])), "doc_id long, text string").selectExpr("*", "'a' labels", "3 spans")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert got == dict(enumerate([*texts.values(), "", ""]))
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_toxicity_on_held_out_documents(spark, sf):
+    """Accuracy on labels that learning never saw, and that those labels have no influence."""
+    from skerry.llm.textops import read_table
+
+    docs, labels = (read_table(spark, sf.replace("0.001", "0.1"), t) for t in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels)
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.learn(docs, turned).weights == lexicon.weights
+    scored = toxicity.score(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), lexicon).join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out())
+    rows = scored.select("toxicity", "toxic").collect()
+    right = sum((r.toxicity >= 0.3) == (r.toxic == 1) for r in rows)
+    assert rows and right >= 0.95 * len(rows)
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(1, "you vile snerk " * 3, 5.0), (2, "a kind day", 6.0), (3, None, 7.0), (4, "", 8.0), (5, "calm " * 300_000, 9.0)], "doc_id long, text string, toxicity double")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.learn(docs, labels).weights == dict.fromkeys(toxicity.STEMS, 4.0)  # both labels: nothing is learned
+    kept = toxicity.reject(docs, toxicity.Lexicon({"snerk": 9.0}))
+    assert sorted((r.doc_id, r.toxicity) for r in kept.collect()) == [(2, 6.0), (3, 7.0), (4, 8.0), (5, 9.0)]
+    assert toxicity.score(docs.limit(0), toxicity.Lexicon({})).count() == 0 and toxicity.learn(docs.limit(0), labels.limit(0)).weights
+
+
+def test_columns_cannot_clash(spark):
+    """Operators that return the input's columns leave other columns as they are."""
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, 11, 12, 13, 14), (2, text, 21, 22, 23, 24), (3, None, 31, 32, 33, 34)], "doc_id long, text string, gone_ int, found int, row_ int, n_words int")
+    assert sorted(map(tuple, neardup.keep_one(df, 5, 80).collect())) == sorted(map(tuple, df.where("doc_id != 2").collect()))
+    assert [r.found for r in passages.dedup(df).orderBy("doc_id").collect()] == [12, 22, 32]
+    assert {r.gone_ for r in pii.pseudonymise(df, b"k").collect()} == {11, 21, 31}
