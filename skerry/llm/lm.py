@@ -4,8 +4,11 @@ log10 p(w | v) mixes the maximum-likelihood estimates of the bigram and the
 unigram with a uniform one. The weights depend on how often the context v was
 seen (buckets of powers of two) and are learned by expectation-maximisation on
 held-out counts: a fifth of the training documents is deleted from the counts,
-and the weights are those that predict it best. The final counts are those of
-all training documents.
+and the weights are those that predict it best. For that the deleted counts are
+put in cells by quarter powers of two of both estimates, each with its mean
+estimates, so that the weights are those of a histogram of fixed size and
+approximate those of single counts. The final counts are those of all training
+documents.
 
 Documents are grouped into chunks, whose tokens become numbers into the
 chunk's own word list (the state). A chunk asks for its distinct words and
@@ -16,7 +19,12 @@ once a chunk. To the driver go three totals and a histogram of fixed size.
 
 Rows: a null text counts as empty, which is one end token. A null doc_id is
 scored and counts as the text "null" for the split. Repeated rows count as
-often as they occur.
+often as they occur. A text of any length is one chunk at most and is scored
+whole. An empty table gives an empty one; other columns are not returned.
+
+A chunk sends a blob to each bucket that one of its n-grams falls in, so there
+are never more blobs than distinct n-grams of all chunks; far beyond a
+terabyte blobs get as small as that.
 """
 
 from __future__ import annotations

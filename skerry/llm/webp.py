@@ -795,8 +795,9 @@ def encode(argb: np.ndarray) -> bytes:
         w.put(value, n)
     gray = _green_only(flat)
     green = (flat >> np.uint32(8)) & np.uint32(255)
-    plain = _entropy(np.bincount(green, minlength=256)) if gray else _cost(flat)
-    colours = np.flatnonzero(np.bincount(green, minlength=256)).astype(np.uint32) << np.uint32(8) | flat[0] & np.uint32(0xFFFF00FF) if gray else np.unique(flat)
+    counts = np.bincount(green, minlength=256)
+    plain = _entropy(counts) if gray else _cost(flat)
+    colours = np.flatnonzero(counts).astype(np.uint32) << np.uint32(8) | flat[0] & np.uint32(0xFFFF00FF) if gray else np.unique(flat)
     table_bits = (8 if gray else 26) * len(colours) + 40
     if len(colours) <= (16 if gray else 256) and len(flat) > 1:
         index = np.searchsorted(colours, flat).reshape(height, width)
@@ -819,8 +820,8 @@ def encode(argb: np.ndarray) -> bytes:
     if height > 1 and width > 1 and len(flat) > 64:
         c = None
         if gray:  # two modes tell whether neighbours say anything
-            g = green.astype(np.int64).reshape(height, width)
-            likely = min(_entropy(np.bincount((r & 255).ravel(), minlength=256)) for r in (np.diff(g, axis=1), np.diff(g, axis=0))) < 0.95 * plain
+            g = green.astype(np.uint8).reshape(height, width)
+            likely = min(_entropy(np.bincount(r.ravel(), minlength=256)) for r in (g[:, 1:] - g[:, :-1], g[1:] - g[:-1])) < 0.95 * plain
         else:
             likely = True
             less = _joined(_channels(flat, width) - _channels(flat, width)[..., 2:3] * np.array([0, 1, 0, 1]))

@@ -377,6 +377,29 @@ def test_language_model(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_language_model_scores(docs, monkeypatch):
+    """The interpolated score against plain counting, with the weights that were learned."""
+    weights = []
+    learn = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: weights.append(learn(*a)) or weights[-1])
+    got = lm.score(docs).collect()
+    T = [(i, (t or "").encode().lower().split() + [None]) for i, t in ROWS + MORE]
+    learned = [t for i, t in T if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(w for t in learned for w in t)
+    pair = collections.Counter(p for t in learned for p in zip([None, *t[:-1]], t))
+    n, v = sum(c.values()), len(c)
+
+    def plain(t):
+        total = 0.0
+        for before, w in zip([None, *t[:-1]], t):
+            a, b, u = weights[0][int(lm.context_bucket(np.array([c[before]]))[0])]
+            total += math.log10(a * (pair[before, w] / c[before] if c[before] else 0) + b * c[w] / n + u / (v + 1))
+        return total
+
+    want = collections.Counter((i, round(plain(t), 6)) for i, t in T)
+    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
 def test_interpolation_weights_predict_held_out_counts():
     cells = np.array([5 * lm.STEPS**2, 5 * lm.STEPS**2 + 1])
     w = lm.learn_weights(cells, np.array([90.0, 10.0]), np.array([0.01, 0.01]), np.array([0.9, 0.0]), 1e-4)
