@@ -58,18 +58,28 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm(v) == 0, 1.0).otherwise(norm(v)))
+    length = F.array(F.when(norm(v) == 0, 1.0).otherwise(norm(v)))  # bound to a variable, so that it's computed once
+    return F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def bit_words(flags: Column, dim: int) -> Column:
     """An array of booleans as 64-bit words, the first flag lowest, padded with zeros."""
-    words = []
-    for lo in range(0, dim, 64):
-        word = F.lit(0).cast("long")
-        for i in range(lo, min(lo + 64, dim)):
-            word = word.bitwiseOR(F.when(flags[i], F.lit(1 << (i - lo) if i - lo < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-        words.append(word)
-    return F.array(*words)
+    starts = F.array(*(F.lit(lo + 1) for lo in range(0, dim, 64)))
+    word = lambda lo: F.aggregate(F.reverse(F.slice(flags, lo, 64)), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x.cast("long")))
+    return F.transform(starts, word)
+
+
+def word_bit(words: Column, place: Column) -> Column:
+    """The flag at a place, from 0, of bit_words()."""
+    return F.shiftright(F.element_at(words, (F.floor(place / 64) + 1).cast("int")), (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+
+
+def ternary_dot(nonzero_a: Column, negative_a: Column, nonzero_b: Column, negative_b: Column) -> Column:
+    """The negated inner product of codes -1, 0, 1 held as two arrays of words: which aren't 0 and which are negative."""
+    used = F.zip_with(nonzero_a, nonzero_b, lambda x, y: x.bitwiseAND(y))
+    unlike = F.zip_with(F.zip_with(negative_a, negative_b, lambda x, y: x.bitwiseXOR(y)), used, lambda x, y: x.bitwiseAND(y))
+    count = lambda words: F.aggregate(words, F.lit(0), lambda s, x: s + F.bit_count(x))
+    return 2 * count(unlike) - count(used)
 
 
 METRICS = {"l2sq": l2sq, "euclidean": l2sq, "mips": mips, "cosine": cosine}

@@ -21,18 +21,24 @@ def _sorted_by_distance(graph: list[np.ndarray], x: np.ndarray, metric: str) ->
     return [g[np.lexsort((g, distances(metric, x[i], x[g])))] if len(g) else g for i, g in enumerate(graph)]
 
 
-def vamana(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, passes: int = 1, metric: str = "l2sq", seed: int = 0) -> list[np.ndarray]:
-    """Inserts batches: search, prune what was visited, add reverse edges and prune overfull vertices. Start: row 0."""
+def vamana(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, passes: int = 1, metric: str = "l2sq", seed: int = 0, single: int = 0) -> list[np.ndarray]:
+    """Inserts batches: search, prune what was visited, add reverse edges and prune overfull vertices. Start: row 0.
+
+    single: each row gets so many random edges first; then each pass is one batch, in which a row's search starts at itself.
+    """
     n = len(x)
     graph = [np.zeros(0, int) for _ in range(n)]
+    if single and n > 1:
+        drawn = np.random.default_rng(seed + 1).integers(0, n - 1, (n, single))
+        graph = [np.unique(g + (g >= i)) for i, g in enumerate(drawn)]
     order = np.concatenate(([0], 1 + np.random.default_rng(seed).permutation(n - 1))) if n else np.zeros(0, int)
     for k in range(passes):
         a = alpha if k == passes - 1 else 1.0
-        for lo, hi in _batches(n):
+        for lo, hi in [(0, n)] if single else _batches(n):
             back: dict[int, list[int]] = {}
             new = {}
             for p in order[lo:hi].tolist():
-                _, visited, _ = beam_search(graph, x, x[p], [0], beam, metric, own=p)
+                _, visited, _ = beam_search(graph, x, x[p], [p if single else 0], beam, metric, own=p)
                 old = graph[p]
                 new[p] = robust_prune(p, visited + list(zip(distances(metric, x[p], x[old]).tolist(), old.tolist(), strict=True)), x, a, degree, metric)
             for p, out in new.items():

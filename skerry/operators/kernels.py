@@ -14,14 +14,20 @@ import numpy as np
 def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if metric == "mips":
         return -(x @ q)
+    if metric == "hamming":  # of words
+        return np.bitwise_count(x ^ q).sum(axis=1, dtype=np.int64).astype(float)
     if metric == "cosine":
         return 1 - (x @ q) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))
     d = x - q
     return np.einsum("ij,ij->i", d, d)
 
 
-def beam_search(graph: list[np.ndarray], x: np.ndarray, q: np.ndarray, starts: list[int], beam: int, metric: str = "l2sq", limit: int | None = None, degree: int | None = None, batch: float = 0.0, own: int = -1, stop: Callable[[list, list], bool] | None = None) -> tuple[list[tuple[float, int]], list[tuple[float, int]], int]:
-    """(frontier, visited, distances computed). own: a row that is never returned; stop: an early-stopping test."""
+def beam_search(graph: list[np.ndarray], x: np.ndarray, q: np.ndarray, starts: list[int], beam: int, metric: str = "l2sq", limit: int | None = None, degree: int | None = None, batch: float = 0.0, own: int = -1, stop: Callable[[list, list], bool] | None = None, coarse: Callable[[list[int]], np.ndarray] | None = None) -> tuple[list[tuple[float, int]], list[tuple[float, int]], int]:
+    """(frontier, visited, distances computed). own: a row that is never returned; stop: an early-stopping test.
+
+    coarse: distances of rows by cheaper codes. While the frontier is full, a neighbour is compared only if its coarse
+    distance is below the mean, over the steps so far, of the frontier's mean coarse distance.
+    """
     if not starts or len(starts) > beam:
         raise ValueError("between one and beam starts are needed")
     d = distances(metric, q, x[starts])
@@ -30,6 +36,7 @@ def beam_search(graph: list[np.ndarray], x: np.ndarray, q: np.ndarray, starts: l
     pending: list[tuple[float, int]] = []
     limit = len(x) if limit is None else limit
     todo, at = front, 0
+    last, mean, means = -1, 0.0, []
     while at < len(todo) and len(visited) < limit:
         if stop and stop(front, visited):
             break
@@ -38,6 +45,12 @@ def beam_search(graph: list[np.ndarray], x: np.ndarray, q: np.ndarray, starts: l
         done.add(best[1])
         new = [i for i in graph[best[1]][:degree].tolist() if i not in seen and i != own]
         seen.update(new)
+        if coarse and len(front) == beam:
+            if front[-1][1] != last:
+                last, mean = front[-1][1], float(coarse([i for _, i in front]).mean())
+            means.append(mean)
+            if new:
+                new = [i for i, c in zip(new, coarse(new).tolist(), strict=True) if c < sum(means) / len(means)]
         if new:
             cut = front[-1][0] if len(front) == beam else np.inf
             d = distances(metric, q, x[new])

@@ -16,6 +16,17 @@ def _double(vec: str) -> Column:
     return F.transform(F.col(vec), lambda x: x.cast("double"))
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Halves away from zero, as round() of SQL does."""
+    return np.sign(x) * np.floor(np.abs(x) + 0.5)
+
+
+def packed_bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of flags as rows of 64-bit words, the first flag lowest: bit_words() of arrays."""
+    wide = np.pad(flags, ((0, 0), (0, -flags.shape[1] % 64)))
+    return np.packbits(wide, axis=1, bitorder="little").view("<u8")
+
+
 @dataclass(frozen=True)
 class Scalar:
     """clip(round(x * slope) - offset) to 0 .. 2^bits - 1."""
@@ -38,6 +49,9 @@ class Scalar:
     def transform(self, v: Column) -> Column:
         return F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(float((1 << self.bits) - 1)), F.round(x.cast("double") * self.slope) - self.offset)).cast("int"))
 
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(rounded(x * self.slope) - self.offset, 0, (1 << self.bits) - 1)
+
 
 @dataclass(frozen=True)
 class Symmetric:
@@ -61,6 +75,10 @@ class Symmetric:
         most = float(((1 << self.bits) - 1) // 2)
         return F.transform(v, lambda x: F.greatest(F.lit(-most), F.least(F.lit(most), F.round(x.cast("double") * self.scale))).cast("int"))
 
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        most = ((1 << self.bits) - 1) // 2
+        return np.clip(rounded(x * self.scale), -most, most)
+
 
 def quantile(df: DataFrame, rank: int, vec: str = "vec") -> float:
     """The coordinate of an exact rank (from 0) among all coordinates."""
@@ -81,6 +99,9 @@ class Ternary:
     def transform(self, v: Column) -> Column:
         return F.transform(v, lambda x: F.when(x.cast("double") > self.cut, 1).when(x.cast("double") < -self.cut, -1).otherwise(0))
 
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return (x > self.cut).astype(float) - (x < -self.cut)
+
 
 @dataclass(frozen=True)
 class Bits:
@@ -96,6 +117,9 @@ class Bits:
     def transform(self, v: Column, dim: int) -> Column:
         return bit_words(F.transform(v, lambda x: x.cast("double") > self.threshold), dim)
 
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return packed_bits(x > self.threshold)
+
 
 @dataclass(frozen=True)
 class SparseSketch:
@@ -112,12 +136,21 @@ class SparseSketch:
         return SparseSketch(tuple(map(tuple, places.tolist())), tuple(map(tuple, signs.tolist())))
 
     def transform(self, v: Column) -> Column:
-        sums = [sum((F.element_at(v, p + 1).cast("double") * s for p, s in zip(ps, ss, strict=True)), F.lit(0.0)) > 0 for ps, ss in zip(self.places, self.signs, strict=True)]
-        return bit_words(F.array(*sums), len(self.places))
+        """Sums by two literal tables, so that the expression doesn't grow with the bits."""
+        table = F.array(*(F.array(*(F.struct(F.lit(p + 1).alias("p"), F.lit(float(s)).alias("s")) for p, s in zip(ps, ss, strict=True))) for ps, ss in zip(self.places, self.signs, strict=True)))
+        total = lambda row: F.aggregate(row, F.lit(0.0), lambda t, e: t + F.element_at(v, e["p"]).cast("double") * e["s"])
+        return bit_words(F.transform(table, lambda row: total(row) > 0), len(self.places))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        places, signs = np.array(self.places), np.array(self.signs, float)
+        total = np.zeros((len(x), len(places)))
+        for j in range(places.shape[1]):
+            total += x[:, places[:, j]] * signs[:, j]
+        return packed_bits(total > 0)
 
 
 class DenseSketch:
-    """A random +-1 matrix: signs of the projection, or the projection at unit length in eight bits."""
+    """A random +-1 matrix: signs of the projection (``bits``), or the projection at unit length in eight bits (``bytes``)."""
 
     def __init__(self, dim: int, out: int = 128, seed: int = 5489):
         self.matrix = np.random.default_rng(seed).choice([-1.0, 1.0], (dim, out))
@@ -125,8 +158,60 @@ class DenseSketch:
     def project(self, x: np.ndarray) -> np.ndarray:
         return x @ self.matrix
 
+    def bits(self, x: np.ndarray) -> np.ndarray:
+        return packed_bits(self.project(x) > 0)
+
     def bytes(self, x: np.ndarray, bound: float = 0.3) -> np.ndarray:
         y = self.project(x)
         n = np.linalg.norm(y, axis=1, keepdims=True)
         y = y / np.where(n == 0, 1, n)
         return np.clip(np.sign(y) * np.floor(np.abs(y * 127 / bound) + 0.5), -127, 127).astype(np.int8)
+
+
+#: The codes an index can be searched in, by its metric.
+CODES = {"l2sq": ("16", "8", "bits", "sketch"), "mips": ("16", "8", "4", "ternary", "bits", "sketch", "dense8"), "cosine": ()}
+
+
+@dataclass(frozen=True)
+class Coder:
+    """A fitted quantiser as plain numbers, which tasks and saved indexes carry. encode() gives arrays, ``measure``
+    the distance among them."""
+
+    kind: str
+    metric: str
+    dim: int
+    numbers: tuple[float, ...] = ()
+
+    @staticmethod
+    def fit(kind: str, df: DataFrame, metric: str, dim: int, vec: str = "vec") -> Coder:
+        """Aggregates over all of df; a few numbers reach the driver."""
+        if kind not in CODES[metric]:
+            raise ValueError(f"no codes {kind!r} for {metric}")
+        if kind in ("16", "8") and metric == "l2sq":
+            q = Scalar.fit(df, int(kind), vec)
+            numbers = (q.slope, q.offset)
+        elif kind in ("16", "8", "4"):
+            numbers = (Symmetric.fit(df, int(kind), vec).scale,)
+        elif kind == "ternary":
+            numbers = (Ternary.fit(df, vec).cut,)
+        elif kind == "bits":
+            numbers = (Bits.fit_median(df, vec).threshold if metric == "l2sq" else 0.0,)
+        else:
+            numbers = ()
+        return Coder(kind, metric, dim, numbers)
+
+    @property
+    def measure(self) -> str:
+        return "hamming" if self.kind in ("bits", "sketch") else self.metric
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        if self.kind == "dense8":
+            return DenseSketch(self.dim).bytes(x).astype(float)
+        if self.kind == "sketch":
+            mips = self.metric == "mips"
+            return SparseSketch.draw(self.dim, nonzero=5 if mips else 6, random_signs=mips).encode(x)
+        if self.kind in ("16", "8") and self.metric == "l2sq":
+            return Scalar(*self.numbers, int(self.kind)).encode(x)
+        if self.kind in ("16", "8", "4"):
+            return Symmetric(*self.numbers, int(self.kind)).encode(x)
+        return (Ternary if self.kind == "ternary" else Bits)(*self.numbers).encode(x)
