@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions import metrics as M
 from skerry.operators import evaluate, exact, graph, quantize
 from skerry.operators.index import BuildParams, Index
+from skerry.plans import coding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,10 +95,11 @@ def dt2_crop(spark, sf):
 
 @query("select s.i, b.vec_id from (select range i from range(200)) s join (select vec_id, row_number() over (order by vec_id)-1 r, count(*) over () n from embeddings) b on (s.i*2654435761+7*40503)%2147483647%b.n = b.r")
 def dt3_sample(spark, sf):
-    b = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
-    n = b.count()  # ids are dense here, so that the position is the id
-    drawn = spark.range(200).select(F.col("id").alias("i"), (graph.arithmetic_hash(F.col("id"), 7) % n).alias("vec_id"))
-    return drawn.join(b, "vec_id").select("i", "vec_id")
+    b = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("src"))
+    n = b.count()
+    places = graph.offsets(b).select(F.col("src").alias("vec_id"), F.col("first").alias("place"))  # ids are unique: a row each
+    drawn = spark.range(200).select(F.col("id").alias("i"), (graph.arithmetic_hash(F.col("id"), 7) % n).alias("place"))
+    return drawn.join(places, "place").select("i", "vec_id")
 
 
 @query(f"select id, pos, round(x,6) x from (select vec_id id, unnest(range(1,65)) pos, unnest(list_transform(embedding, lambda x: x::double/sqrt({dp('embedding', 'embedding')}))) x from embeddings)")
@@ -376,3 +378,221 @@ def _ranged(mode: str):
 QUERIES["rs1_range_beam"] = _ranged("beam")
 QUERIES["rs2_range_greedy"] = _ranged("greedy")
 QUERIES["rs3_range_doubling"] = _ranged("doubling")
+
+
+# whole codes, and distances among codes
+def _shown(df: DataFrame, words) -> DataFrame:
+    """id, word, bits: each 64-bit word as a string, its lowest bit first."""
+    return df.select("id", F.posexplode(words).alias("word", "w")).select("id", F.col("word").cast("long").alias("word"), F.reverse(F.lpad(F.bin("w"), 64, "0")).alias("bits"))
+
+
+def _flags_sql(source: str, flag: str, head: str = "") -> str:
+    return f"{head} select id, (b//64)::bigint word, string_agg(case when {flag} then '1' else '0' end, '' order by b) bits from ({source}) group by 1, 2"
+
+
+_CUT = f"{_RANKED}, c as (select greatest((select x from r where rk=cast(floor(0.7*n) as bigint)), -(select x from r where rk=cast(floor(0.3*n) as bigint))) c)"
+_TERN = "case when x>c then 1 when x < -c then -1 else 0 end"
+
+
+@query(f"with {_CUT} select vec_id id, pos, {_TERN}::int code from (select vec_id, unnest(range(1,65)) pos, unnest(embedding)::double x from embeddings), c")
+def qz3_codes(spark, sf):
+    b = base(spark, sf)
+    return b.select("id", F.posexplode(quantize.Ternary.fit(b).transform(F.col("vec"))).alias("p", "code")).select("id", (F.col("p") + 1).cast("long").alias("pos"), "code")
+
+
+@query(_flags_sql("select vec_id id, unnest(range(64)) b, unnest(embedding) x from embeddings", "x>0"))
+def qz4_words(spark, sf):
+    return _shown(base(spark, sf), quantize.Bits().transform(F.col("vec"), DIM))
+
+
+@query(_flags_sql("select vec_id id, b, x, m from (select vec_id, unnest(range(64)) b, unnest(embedding)::double x from embeddings), m", "x>m", f"with {_RANKED}, m as (select x m from r where rk = n//2)"))
+def qz5_words(spark, sf):
+    b = base(spark, sf)
+    return _shown(b, quantize.Bits.fit_median(b).transform(F.col("vec"), DIM))
+
+
+@query(f"with {_LOHI} select vec_id id, pos, greatest(0,least(65535,round(x*(65535/(hi-lo)))-round(lo*(65535/(hi-lo)))))::int code from (select vec_id, unnest(range(1,65)) pos, unnest(embedding)::double x from embeddings), p")
+def qz1_wide_codes(spark, sf):
+    b = base(spark, sf)
+    return b.select("id", F.posexplode(quantize.Scalar.fit(b, 16).transform(F.col("vec"))).alias("p", "code")).select("id", (F.col("p") + 1).cast("long").alias("pos"), "code")
+
+
+_ENDS = "e as (select lo, hi, row_number() over (order by lo)-1 rl, row_number() over (order by hi)-1 rh, count(*) over () n from (select list_min(embedding)::double lo, list_max(embedding)::double hi from embeddings)), p as (select (select lo from e where rl=cast(floor(1e-4*n) as bigint)) lo, (select hi from e where rh=least(n-1,cast(floor((1-1e-4)*n) as bigint))) hi)"
+
+
+@query(f"with {_ENDS} select round(7/greatest(hi,-lo),6) scale from p")
+def qz2_trimmed(spark, sf):
+    return spark.range(1).select(F.round(F.lit(quantize.Symmetric.fit(base(spark, sf), 4, trim=True).scale), 6).alias("scale"))
+
+
+def _code_sql(v: str, most: int) -> str:
+    return f"list_transform({v}, lambda x: greatest(-{most},least({most},round(x::double*({most}/greatest(hi,-lo)))))::bigint)"
+
+
+@query(f"with {_LOHI} , k as (select vec_id, {_code_sql('embedding', 127)} c8, {_code_sql('embedding', 7)} c4 from embeddings, p) select q.vec_id qid, b.vec_id id, (-list_sum(list_transform(list_zip(q.c8,b.c8), lambda z: z[1]*z[2])))::bigint dist8, (-256*list_sum(list_transform(list_zip(q.c4,b.c4), lambda z: z[1]*z[2])))::bigint dist4 from k q cross join k b where q.vec_id % 20 = 0")
+def d6_code_dot(spark, sf):
+    b = base(spark, sf)
+    fine, rough = (quantize.Symmetric.fit(b, bits).transform(F.col("vec")) for bits in (8, 4))
+    coded = b.select("id", fine.alias("c8"), rough.alias("c4"))
+    q = coded.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("c8").alias("q8"), F.col("c4").alias("q4"))
+    return coded.crossJoin(exact.small(q)).select("qid", "id", M.code_dot(F.col("q8"), F.col("c8"), 8).alias("dist8"), M.code_dot(F.col("q4"), F.col("c4"), 4).alias("dist4"))
+
+
+@query(f"with {_CUT}, k as (select vec_id, list_transform(embedding, lambda x: case when x::double>c then 1 when x::double < -c then -1 else 0 end) t from embeddings, c) select q.vec_id qid, b.vec_id id, (-list_sum(list_transform(list_zip(q.t,b.t), lambda z: z[1]*z[2])))::int dist from k q cross join k b where q.vec_id % 20 = 0")
+def d7_ternary_dot(spark, sf):
+    """Codes of two bits as words of which aren't 0 and which are negative, compared by counts of bits."""
+    b = base(spark, sf)
+    code = quantize.Ternary.fit(b).transform(F.col("vec"))
+    words = lambda f: M.bit_words(F.transform(F.col("t"), f), DIM)
+    coded = b.select("id", code.alias("t")).select("id", words(lambda x: x != 0).alias("nz"), words(lambda x: x < 0).alias("neg"))
+    q = coded.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("nz").alias("qnz"), F.col("neg").alias("qneg"))
+    return coded.crossJoin(exact.small(q)).select("qid", "id", M.ternary_dot(F.col("qnz"), F.col("qneg"), F.col("nz"), F.col("neg")).alias("dist"))
+
+
+_EUCLID = quantize.SparseSketch.draw(DIM)
+_INNER = quantize.SparseSketch.draw(DIM, 512, 5, random_signs=True)
+
+
+def _drawn_sql(sketch: quantize.SparseSketch) -> str:
+    """id, b, x: the sums of a sketch. Its drawn places are a table of values."""
+    rows = ",".join(f"({b},{list(p)},{list(map(float, s))})" for b, (p, s) in enumerate(zip(sketch.places, sketch.signs, strict=True)))
+    terms = "+".join(f"embedding[p[{j}]+1]::double*s[{j}]" for j in range(1, len(sketch.places[0]) + 1))
+    return f"select vec_id id, b, {terms} x from embeddings, (values {rows}) t(b,p,s)"
+
+
+def _hamming_sql(sketch: quantize.SparseSketch, dist: str) -> str:
+    bits = f"k as (select id, string_agg(case when x>0 then '1' else '0' end, '' order by b)::bit w from ({_drawn_sql(sketch)}) group by 1)"
+    return f"with {bits} select q.id qid, b.id id, {dist} dist from k q cross join k b join embeddings e on e.vec_id=b.id where q.id % 20 = 0"
+
+
+@query(_flags_sql(_drawn_sql(_EUCLID), "x>0"))
+def qz6_sketch(spark, sf):
+    return _shown(base(spark, sf), _EUCLID.transform(F.col("vec")))
+
+
+@query(_flags_sql(_drawn_sql(_INNER), "x>0"))
+def qz9_sketch(spark, sf):
+    return _shown(base(spark, sf), _INNER.transform(F.col("vec")))
+
+
+def _sketched(spark, sf, sketch):
+    coded = graph.cut(base(spark, sf).select("id", sketch.transform(F.col("vec")).alias("w"), M.norm(F.col("vec")).alias("norm")))
+    q = coded.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("w").alias("qw"))
+    return coded.crossJoin(exact.small(q))
+
+
+@query(_hamming_sql(_EUCLID, "bit_count(xor(q.w,b.w))::bigint"))
+def d10_sketch_hamming(spark, sf):
+    return _sketched(spark, sf, _EUCLID).select("qid", "id", M.hamming(F.col("qw"), F.col("w")).cast("long").alias("dist"))
+
+
+@query(_hamming_sql(_INNER, f"round(bit_count(xor(q.w,b.w))*sqrt({dp('e.embedding', 'e.embedding')}),6)"))
+def d11_weighted_hamming(spark, sf):
+    return _sketched(spark, sf, _INNER).select("qid", "id", F.round(M.weighted_hamming(F.col("qw"), F.col("w"), F.col("norm")), 6).alias("dist"))
+
+
+# diverse neighbours, floods, reach, trees
+_HELD = GRAPH.replace("g as (", "g as materialized (", 1)
+
+
+def _prune_sql(candidates: str, drops: str, most: int) -> str:
+    """candidates: p, c, d. drops: of near (kept to candidate) and far (vertex to candidate)."""
+    near = sq("x.embedding", "y.embedding")
+    return f"""with recursive {_HELD}, c as materialized (select p, c, d, row_number() over (partition by p order by d, c) i from ({candidates})),
+ kill as materialized (select p, j, list(i) ks from (select a.p, b.i j, a.i i, {near} near, b.d far from c a join c b on a.p=b.p and a.i<b.i join embeddings x on x.vec_id=a.c join embeddings y on y.vec_id=b.c) where {drops} group by 1, 2),
+ r(p, i, kept) as (select distinct p, 0::bigint, []::bigint[] from c union all select r.p, r.i+1, case when len(kept)<{most} and not list_has_any(kept, coalesce(ks, []::bigint[])) then list_append(kept, r.i+1) else kept end from r join c on c.p=r.p and c.i=r.i+1 left join kill on kill.p=r.p and kill.j=r.i+1)
+ select k.p src, c.c dst, k.n::int as "rank" from (select r.p, unnest(kept) i, unnest(range(1, len(kept)+1)) n from r join (select p, max(i) i from c group by 1) m on m.p=r.p and m.i=r.i) k join c on c.p=k.p and c.i=k.i"""
+
+
+_DIRECT = "select src p, dst c, dist d from g"
+_BOTH = "select distinct p, c, d from (select src p, dst c, dist d from g union all select dst, src, dist from g)"
+
+
+def _pruned(spark, sf, alpha: float, most: int, rule: str, both: bool = False) -> DataFrame:
+    g = knn8(spark, sf).select("src", "dst", "dist")
+    if both:
+        g = graph.cut(g)
+        g = g.union(g.select("dst", "src", "dist"))
+    return graph.prune(g, base(spark, sf), alpha, most, rule)
+
+
+@query(_prune_sql(_DIRECT, "1.2*near <= far", 4))
+def ib1_prune(spark, sf):
+    return _pruned(spark, sf, 1.2, 4, "vamana")
+
+
+@query(_prune_sql(_DIRECT, "near < 0.9*far", 4))
+def hn2_select(spark, sf):
+    return _pruned(spark, sf, 0.9, 4, "hnsw")
+
+
+@query(_prune_sql(_BOTH, "1.2*near < far", 6))
+def nn4_undirect(spark, sf):
+    return _pruned(spark, sf, 1.2, 6, "descent", both=True)
+
+
+@query(f"with recursive {_HELD}, a as materialized (select q.vec_id qid, b.vec_id id from {PAIRS} and {sq(QE, BE)} <= 1.4), r(qid,id) as (select qid,id from a where id=qid union select r.qid,g.dst from r join g on g.src=r.id join a on a.qid=r.qid and a.id=g.dst) select qid,id from r")
+def rs2_flood(spark, sf):
+    allowed = exact.within(asked(spark, sf), base(spark, sf), 1.4)
+    return graph.flood(graph.cut(knn8(spark, sf)), allowed, asked(spark, sf).select("qid", F.col("qid").alias("id")))
+
+
+@query(f"with l as ({SQL['p18_bfs_levels']}), z as (select level, count(*) n from l group by 1) select (select count(*) from embeddings) vertices, (select count(*) from embeddings)-sum(n)::bigint unreachable, count(*) radius, max(n) largest_level from z")
+def ev12_reach(spark, sf):
+    return graph.reach(graph.cut(knn8(spark, sf)), base(spark, sf).select("id"), 0)
+
+
+def _tree_sql(depth: int) -> str:
+    out = "t0 as (select vec_id id, embedding v, (vec_id*2654435761+7*40503)%2147483647 h, 1::bigint node from embeddings)"
+    for i in range(depth):
+        out += f", p{i} as materialized (select node, arg_min(v,h) x, arg_max(v,h) y from t{i} group by 1), t{i + 1} as materialized (select id, v, h, t.node*2 + case when {sq('v', 'x')} <= {sq('v', 'y')} then 0 else 1 end node from t{i} t join p{i} p on p.node=t.node)"
+    return f"with {out} select id, node from t{depth}"
+
+
+@query(_tree_sql(4))
+def cl1_tree(spark, sf):
+    return graph.cluster_levels(base(spark, sf), 4)
+
+
+@query("select i::int i, (1000*(4+i)//10)::int as bound from (select range i from range(6))")
+def ev9_limits(spark, sf):
+    return spark.createDataFrame(list(enumerate(evaluate.limits(1000))), "i int, bound int")
+
+
+QUERIES["ib4_single_batch"] = _built("vamana", single=8, passes=2)
+
+
+def _coded(rerank: int = 2, **more):
+    def run(spark, sf):
+        index = Index.build(base(spark, sf), BuildParams(degree=24, beam=48, **more))
+        return index.search(asked(spark, sf), K, beam=64, rerank=rerank).select("qid", "id", "rank", F.round("dist", 6).alias("dist"))
+
+    return run
+
+
+QUERIES["as7_bytes"] = _coded(codes="8")
+QUERIES["as7_filtered"] = _coded(codes="16", coarse="8")
+QUERIES["as7_sketches"] = _coded(rerank=6, codes="sketch")
+QUERIES["ib5_built_on_codes"] = _coded(codes="8", on_codes=True)
+QUERIES["as14_inner_products"] = _coded(metric="mips", **coding("mips", DIM))
+
+
+@query()
+def as4_random_starts(spark, sf):
+    index = Index.build(base(spark, sf), BuildParams(degree=24, beam=48))
+    return index.search(asked(spark, sf), K, beam=64, random_start=True).select("qid", "id", "rank", F.round("dist", 6).alias("dist"))
+
+
+@query()
+def ev5_measure(spark, sf):
+    """Recall, comparisons and visits at three beams; queries a second are left out, as they differ from run to run."""
+    index = Index.build(base(spark, sf), BuildParams(degree=24, beam=48))
+    grid = evaluate.sweep(spark, K, 24).where("k = 10 and visit_limit is null and beam in (10, 50, 100)")
+    return evaluate.measure(index, asked(spark, sf), _truth(spark, sf), grid).drop("qps")
+
+
+@query()
+def ev10_ranges(spark, sf):
+    index = Index.build(base(spark, sf), BuildParams(kind="descent", degree=24))
+    truth = exact.within(asked(spark, sf), base(spark, sf), 1.4)
+    return evaluate.measure_ranges(index, asked(spark, sf), truth, 1.4).drop("qps")

@@ -65,13 +65,8 @@ def normalised(v: Column) -> Column:
 def bit_words(flags: Column, dim: int) -> Column:
     """An array of booleans as 64-bit words, the first flag lowest, padded with zeros."""
     starts = F.array(*(F.lit(lo + 1) for lo in range(0, dim, 64)))
-    word = lambda lo: F.aggregate(F.reverse(F.slice(flags, lo, 64)), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x.cast("long")))
-    return F.transform(starts, word)
-
-
-def word_bit(words: Column, place: Column) -> Column:
-    """The flag at a place, from 0, of bit_words()."""
-    return F.shiftright(F.element_at(words, (F.floor(place / 64) + 1).cast("int")), (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    word = lambda f, lo: F.aggregate(F.reverse(F.slice(f, lo, 64)), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x.cast("long")))
+    return F.transform(F.array(flags), lambda f: F.transform(starts, lambda lo: word(f, lo)))[0]  # flags are computed once
 
 
 def ternary_dot(nonzero_a: Column, negative_a: Column, nonzero_b: Column, negative_b: Column) -> Column:

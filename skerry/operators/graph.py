@@ -7,8 +7,16 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.functions.metrics import l2sq
 from skerry.operators.lineage import cut
 
+#: When a kept neighbour at distance ``near`` from a candidate drops it, which is ``far`` from the vertex.
+RULES = {
+    "vamana": lambda near, far, alpha: near * alpha <= far,
+    "hnsw": lambda near, far, alpha: near < far * alpha,
+    "descent": lambda near, far, alpha: near * alpha < far,
+}
+
 
 def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """vertex, out_degree, in_degree; vertices: id."""
@@ -78,3 +86,60 @@ def union_bounded(lists: DataFrame, more: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("src").orderBy("dist", "id")
     both = lists.select("src", "id", "dist").union(more.select("src", "id", "dist")).dropDuplicates(["src", "id", "dist"])
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def prune(candidates: DataFrame, vectors: DataFrame, alpha: float, most: int, rule: str = "vamana", metric=l2sq) -> DataFrame:
+    """src, dst, rank: the diverse neighbours of each vertex, by the rule of a builder.
+
+    candidates: src, dst, dist; repeats count once. Nearest first, a candidate is kept unless one kept before is too
+    near to it, up to ``most``. A fold over a vertex's sorted candidates within codegen; a vertex's candidates with
+    their vectors stand in one row, as a search of a bounded beam or k lists give them.
+    """
+    told = candidates.where("src != dst").groupBy("src", "dst").agg(F.min("dist").alias("dist")).join(vectors.select(F.col("id").alias("dst"), "vec"), "dst")
+    lists = told.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst", "vec"))).alias("c"))
+    drops = RULES[rule]
+
+    def step(kept, c):
+        fits = (F.size(kept) < most) & ~F.exists(kept, lambda k: drops(metric(k["vec"], c["vec"]), c["dist"], F.lit(float(alpha))))
+        return F.when(fits, F.concat(kept, F.array(c))).otherwise(kept)
+
+    kept = F.aggregate(F.col("c"), F.slice(F.col("c"), 1, 0), step)
+    return lists.select("src", F.posexplode(F.transform(kept, lambda k: k["dst"])).alias("p", "dst")).select("src", "dst", (F.col("p") + 1).alias("rank"))
+
+
+def flood(edges: DataFrame, allowed: DataFrame, starts: DataFrame) -> DataFrame:
+    """qid, id: vertices that a query reaches from its starts through allowed ones. allowed, starts: qid, id.
+
+    One join a step, of the frontier only, until it's empty.
+    """
+    inside = cut(allowed.select("qid", "id").distinct())
+    pairs = edges.select("src", "dst").distinct()
+    seen = front = cut(starts.select("qid", "id").distinct().join(inside, ["qid", "id"], "left_semi"))
+    while not front.isEmpty():
+        reached = front.select("qid", F.col("id").alias("src")).join(pairs, "src").select("qid", F.col("dst").alias("id")).distinct()
+        front = cut(reached.join(inside, ["qid", "id"], "left_semi").join(seen, ["qid", "id"], "left_anti"))
+        seen = cut(seen.union(front))
+    return seen
+
+
+def reach(edges: DataFrame, vertices: DataFrame, start: int) -> DataFrame:
+    """One row: vertices, unreachable (from the start), radius (breadth-first levels, the start's included) and the
+    largest level. vertices: id."""
+    sizes = levels(edges, start).groupBy("level").agg(F.count("*").alias("n"))
+    totals = sizes.agg(F.sum("n").alias("reached"), F.count("*").alias("radius"), F.max("n").alias("largest_level"))
+    return vertices.agg(F.count("*").alias("vertices")).crossJoin(totals).select("vertices", (F.col("vertices") - F.col("reached")).alias("unreachable"), "radius", "largest_level")
+
+
+def cluster_levels(vectors: DataFrame, depth: int, seed: int = 7) -> DataFrame:
+    """id, node: leaves of a two-pivot tree, all nodes of a level split at once. vectors: id, vec.
+
+    The pivots of a node are its rows of the smallest and largest hash; a row goes left (2 * node) unless it's nearer
+    to the second (2 * node + 1). A node of one row, or of equal pivots, stays as 2 * node.
+    """
+    h = arithmetic_hash(F.col("id"), seed)
+    rows = vectors.select("id", "vec", F.lit(1).cast("long").alias("node"))
+    for _ in range(depth):
+        pivots = rows.groupBy("node").agg(F.min_by("vec", F.struct(h, "id")).alias("x"), F.max_by("vec", F.struct(h, "id")).alias("y"))
+        left = l2sq(F.col("vec"), F.col("x")) <= l2sq(F.col("vec"), F.col("y"))
+        rows = cut(rows.join(pivots, "node").select("id", "vec", (F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node")))
+    return rows.select("id", "node")

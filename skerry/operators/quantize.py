@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,8 +137,9 @@ class SparseSketch:
         return SparseSketch(tuple(map(tuple, places.tolist())), tuple(map(tuple, signs.tolist())))
 
     def transform(self, v: Column) -> Column:
-        """Sums by two literal tables, so that the expression doesn't grow with the bits."""
-        table = F.array(*(F.array(*(F.struct(F.lit(p + 1).alias("p"), F.lit(float(s)).alias("s")) for p, s in zip(ps, ss, strict=True))) for ps, ss in zip(self.places, self.signs, strict=True)))
+        """Sums by a table, one literal that is folded from JSON, so that the expression doesn't grow with the bits."""
+        rows = [[{"p": p + 1, "s": s} for p, s in zip(ps, ss, strict=True)] for ps, ss in zip(self.places, self.signs, strict=True)]
+        table = F.from_json(F.lit(json.dumps(rows)), "array<array<struct<p:int,s:double>>>")
         total = lambda row: F.aggregate(row, F.lit(0.0), lambda t, e: t + F.element_at(v, e["p"]).cast("double") * e["s"])
         return bit_words(F.transform(table, lambda row: total(row) > 0), len(self.places))
 
