@@ -564,7 +564,7 @@ QUERIES["ib4_single_batch"] = _built("vamana", single=8, passes=2)
 
 def _coded(rerank: int = 2, **more):
     def run(spark, sf):
-        index = Index.build(base(spark, sf), BuildParams(degree=24, beam=48, **more))
+        index = Index.build(base(spark, sf), BuildParams(degree=24, beam=48, shard=500, **more))
         return index.search(asked(spark, sf), K, beam=64, rerank=rerank).select("qid", "id", "rank", F.round("dist", 6).alias("dist"))
 
     return run
