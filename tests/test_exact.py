@@ -81,3 +81,22 @@ def test_leaves_are_dealt_by_key(spark):
     d = np.where(leaf[:, None] == leaf[None], ((x[:, None] - x[None]) ** 2).sum(-1), np.inf)
     got = {(r.qid, r.id) for r in exact.blocked_knn(q, df, 4, block=16, key="leaf").collect()}
     assert got == {(a, int(b)) for a in range(200) for b in np.argsort(d[a])[:4]}
+
+
+def test_integer_pairs_are_generated_code(spark, sf):
+    df = catalog.QUERIES["d2_d4_integer_pairs"](spark, sf)
+    assert "aggregate(" not in plan(df) and "Repartition" in plan(df)
+
+
+def test_truth_is_computed_once(spark):
+    from skerry.operators import evaluate
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            calls.add(1)
+            yield batch
+
+    truth = spark.createDataFrame([(0, 1, 1, 0.5)], "qid long, rank int, id long, dist double").coalesce(1).mapInArrow(rows, "qid long, rank int, id long, dist double")
+    assert evaluate.recall(truth, truth.sparkSession.createDataFrame([(0, 1)], "qid long, id long"), 1).first()["recall"] == 1 and calls.value == 1
