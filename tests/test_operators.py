@@ -77,3 +77,12 @@ def test_searches_of_a_fixed_graph():
     assert [i for _, i in front] == [2, 1] and [i for _, i in visited] == [1, 0] and cost == 3
     for mode, found in (("beam", [4, 5]), ("greedy", [3, 4, 5]), ("doubling", [3, 4, 5])):  # a beam of two holds no more
         assert sorted(kernels.range_search(path, x, np.array([4.2]), 1.5, 2, mode, "l2sq", None)) == found
+
+
+def test_small_shards_are_built_apart(spark):
+    """Few bytes aren't few minutes: shards aren't put together by their size."""
+    x = np.random.default_rng(7).normal(0, 1, (400, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    built = index.Index.build(df, index.BuildParams(degree=4, beam=8, shard=20))
+    assert built.shards.rdd.getNumPartitions() == 32 and built.shards.count() == 20
+    assert sum(r.n > 0 for r in built.shards.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) >= 10
