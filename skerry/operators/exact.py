@@ -78,10 +78,11 @@ def non_empty(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.join(results.select("qid"), "qid", "left_semi")
 
 
-def blocked_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2sq", block: int = BLOCK, key: str | None = None) -> DataFrame:
+def blocked_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2sq", block: int = BLOCK, key: str | None = None, others: bool = False) -> DataFrame:
     """The k nearest of each query: qid, id, dist, rank. A block of queries keeps its k best of all the blocks of vectors
-    its task reads, so that k rows a query and part of the vectors are shuffled. key: a column of both sides; only rows
-    of the same value meet. Rows without a whole vector take no part. hamming: of arrays of 64-bit words."""
+    its task reads, packed as one row; these are merged block by block. key: a column of both sides; only rows
+    of the same value meet. others: a query doesn't find its own id. Rows without a whole vector take no part. hamming:
+    of arrays of 64-bit words."""
     kind = _METRIC[metric]
 
     def use(tiles):
@@ -89,32 +90,108 @@ def blocked_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2sq
         for qid, (q,), _, own, (x,), _ in tiles:
             if held is None or not np.array_equal(held, qid):
                 if held is not None:
-                    yield from _flushed(held, pools)
+                    yield _flushed(held, pools)
                 held, pools, bound = qid.copy(), {}, np.full(len(qid), np.inf)
+            low = _Low(kind, q, x)
             for lo in range(0, len(q), STRIP):
                 part = q[lo : lo + STRIP]
-                near, slack, sure = _near(kind, part, x)
-                limit = bound[lo : lo + STRIP]
-                if sure and len(own) > k and np.isinf(limit).any():
-                    limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
+                limit, most = bound[lo : lo + STRIP], k + others
+                hits = low.hits(lo, part, x, limit, most)
+                if hits is None:
+                    near, slack, sure = _near(kind, part, x)
+                    if sure and len(own) > most and np.isinf(limit).any():
+                        limit = np.minimum(limit, np.partition(near, most - 1, axis=1)[:, most - 1])
+                    hits = _hits(kind, part, x, near, limit + slack)
+                new = list(hits)
+                if not sum(len(n[0]) for n in new):
+                    continue
                 i, d, ids = pools.get(lo, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
-                new = list(_hits(kind, part, x, near, limit + slack))
                 i, d, ids = np.concatenate([i, *(n[0] for n in new)]), np.concatenate([d, *(n[2] for n in new)]), np.concatenate([ids, *(own[n[1]] for n in new)])
-                order = np.lexsort((ids, d, i))
-                i, d, ids = i[order], d[order], ids[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                last = place == k - 1
-                bound[lo + i[last]] = np.where(np.isnan(d[last]), np.inf, d[last])
-                pools[lo] = i[place < k], d[place < k], ids[place < k]
+                if others:
+                    far = ids != qid[lo + i]
+                    i, d, ids = i[far], d[far], ids[far]
+                pools[lo], last, at = _best(i, d, ids, k)
+                bound[lo + at] = np.where(np.isnan(last), np.inf, last)
         if held is not None:
-            yield from _flushed(held, pools)
-
-    return top_k(_meet(queries, base, use, "qid long, id long, dist double", block, key), k)
+            yield _flushed(held, pools)
 
+    def merge(batches):
+        held = None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                qid, *rest = (np.frombuffer(c[n].as_buffer(), kind) for c, kind in zip(batch.columns, ("<i8", "<i4", "<f8", "<i8")))
+                if held is not None and np.array_equal(held, qid):
+                    kept = [np.concatenate(v) for v in zip(kept, rest)]
+                    if len(kept[0]) > 4 * k * len(qid):
+                        kept = _best(*kept, k)[0]
+                    continue
+                if held is not None:
+                    yield from _told(held, *_best(*kept, k)[0])
+                held, kept = qid.copy(), [v.copy() for v in rest]
+        if held is not None:
+            yield from _told(held, *_best(*kept, k)[0])
 
-def _flushed(qid: np.ndarray, pools: dict) -> Iterator[pa.RecordBatch]:
-    for lo, (i, d, ids) in pools.items():
-        yield pa.RecordBatch.from_arrays([pa.array(qid[lo + i]), pa.array(ids), pa.array(d)], ["qid", "id", "dist"])
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    # a task's bounds start anew: where all rows ask, few lanes of vectors and many of queries
+    packs = _meet(queries, base, use, "q0 binary, i binary, d binary, ids binary", block, key, deal=(4 * cores, 4) if others else None)
+    packs = packs.repartition(2 * cores, F.xxhash64("q0")).sortWithinPartitions("q0")
+    return top_k(packs.mapInArrow(merge, "qid long, id long, dist double"), k)
+
+
+def _best(i: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Of each i the k smallest (d, id), in this order; the k-th d where there is one, and whose it is."""
+    order = np.lexsort((ids, d, i))
+    i, d, ids = i[order], d[order], ids[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    last, few = place == k - 1, place < k
+    return (i[few], d[few], ids[few]), d[last], i[last]
+
+
+def _flushed(qid: np.ndarray, pools: dict) -> pa.RecordBatch:
+    i, d, ids = (np.concatenate([np.zeros(0, kind), *(v[n] + (lo if n == 0 else 0) for lo, v in pools.items())]).astype(kind) for n, kind in enumerate(("<i4", "<f8", "<i8")))
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (qid, i, d, ids)], ["q0", "i", "d", "ids"])
+
+
+def _told(qid: np.ndarray, i: np.ndarray, d: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids), pa.array(d)], ["qid", "id", "dist"])
+
+
+class _Low:
+    """Candidates of l2sq by a product in single precision, where both sides are of it, which takes half the time: with
+    q.x - x.x/2 in one product, a row is one unless that is below (q.q - limit)/2 by more than the product's error."""
+
+    def __init__(self, kind: str, q: np.ndarray, x: np.ndarray):
+        self.fits = kind == "l2sq" and q.dtype == x.dtype == np.dtype("<f4") and q.shape[1] > 0
+        if self.fits:
+            with np.errstate(all="ignore"):
+                self.qq, xx = (np.einsum("ij,ij->i", v, v, dtype=np.float64) for v in (q, x))
+                most = max(self.qq.max(), xx.max())
+                self.fits = bool(1e-20 < most < 1e30)  # false for NaN
+                # each of the terms, and their sums, to 2**-24; twice that, and what is too small for a normal number
+                self.slack = (q.shape[1] + 4) * 2.0**-23 * (np.sqrt(self.qq * xx.max()) + xx.max() / 2) + 1e-34
+                if self.fits:
+                    self.q = np.concatenate([q, np.ones((len(q), 1), np.float32)], axis=1)
+                    self.x = np.ascontiguousarray(np.concatenate([x, (-xx / 2).astype(np.float32)[:, None]], axis=1).T)
+
+    def hits(self, lo: int, part: np.ndarray, x: np.ndarray, limit: np.ndarray, most: int) -> Iterator | None:
+        """As _hits(); None where single precision tells too little."""
+        if not self.fits:
+            return None
+        near, qq, slack = self.q[lo : lo + len(part)] @ self.x, self.qq[lo : lo + len(part)], self.slack[lo : lo + len(part)]
+        least = (qq - limit) / 2 - slack
+        if len(x) > most and np.isinf(limit).any():
+            least = np.maximum(least, np.partition(near, len(x) - most, axis=1)[:, len(x) - most] - 2 * slack)
+        least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+        found = _places(near >= least[:, None])
+        if len(found) > near.size // 16 + 2 * most * len(part):
+            return None
+        return self._folded(found, part, x)
+
+    @staticmethod
+    def _folded(found: np.ndarray, part: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for lo in range(0, len(found), CHUNK):
+            i, j = np.divmod(found[lo : lo + CHUNK], len(x))
+            yield i, j, _exact(part[i].astype(np.float64), x[j].astype(np.float64), "l2sq")
 
 
 def blocked_within(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2sq", block: int = BLOCK, later: bool = False) -> DataFrame:
@@ -182,12 +259,13 @@ def _packed(df: DataFrame, block: int, key: str | None, holes: bool, parts: int)
     return cut(df.mapInArrow(run, schema)), types
 
 
-def _meet(queries: DataFrame, base: DataFrame, use: Callable[[Iterator], Iterator[pa.RecordBatch]], schema: str, block: int = BLOCK, key: str | None = None, holes: bool = False) -> DataFrame:
+def _meet(queries: DataFrame, base: DataFrame, use: Callable[[Iterator], Iterator[pa.RecordBatch]], schema: str, block: int = BLOCK, key: str | None = None, holes: bool = False, deal: tuple[int, int] | None = None) -> DataFrame:
     """use() of the tiles of a task: qid, the queries' matrices, which rows are no whole vectors, and the same of the
     vectors. Tiles with the same queries follow each other where the vectors are the inner side of the join."""
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    left, q_types = _packed(queries, block, key, holes, min(cores, 8))
-    right, x_types = _packed(base, block, key, holes, 2 * cores)
+    ways = deal or (min(cores, 8), 2 * cores)
+    left, q_types = _packed(queries, block, key, holes, ways[0])
+    right, x_types = _packed(base, block, key, holes, ways[1])
 
     def side(columns, n, types):
         ids, *rest = (c[n].as_buffer() for c in columns)
@@ -248,9 +326,18 @@ def _near(kind: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return near, slack + 1e-300, sure
 
 
+def _places(hit: np.ndarray) -> np.ndarray:
+    """flatnonzero() of booleans of which few are true: by eights first."""
+    if hit.size % 8:
+        return np.flatnonzero(hit)
+    at = np.flatnonzero(hit.ravel().view(np.uint64))
+    i, j = np.nonzero(hit.reshape(-1, 8)[at])
+    return at[i] * 8 + j
+
+
 def _hits(kind: str, q: np.ndarray, x: np.ndarray, near: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places and distances, in chunks, of the pairs that may lie within each query's limit."""
-    found = np.flatnonzero(near <= np.broadcast_to(limit, len(q))[:, None])
+    found = _places(near <= np.broadcast_to(limit, len(q))[:, None])
     for lo in range(0, len(found), CHUNK):
         i, j = np.divmod(found[lo : lo + CHUNK], len(x))
         yield i, j, near[i, j] if kind == "hamming" else _exact(q[i].astype(np.float64), x[j].astype(np.float64), kind)

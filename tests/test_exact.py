@@ -100,3 +100,27 @@ def test_truth_is_computed_once(spark):
 
     truth = spark.createDataFrame([(0, 1, 1, 0.5)], "qid long, rank int, id long, dist double").coalesce(1).mapInArrow(rows, "qid long, rank int, id long, dist double")
     assert evaluate.recall(truth, truth.sparkSession.createDataFrame([(0, 1)], "qid long, id long"), 1).first()["recall"] == 1 and calls.value == 1
+
+
+def test_a_block_travels_as_one_row(spark, sf):
+    """Of all k nearest of a block, not a row each, in the exchange; what singles out candidates is of single precision."""
+    b = catalog.base(spark, sf)
+    near = exact.blocked_knn(b.select(F.col("id").alias("qid"), F.col("vec").alias("qv")), b, 8, others=True)
+    exchange = next(line for line in plan(near).splitlines() if "RepartitionByExpression" in line)
+    assert "q0" in exchange
+    x = np.array([r.vec for r in b.orderBy("id").collect()], np.float32)
+    low = exact._Low("l2sq", x, x)
+    d = np.cumsum((x[:, None].astype(float) - x[None]) ** 2, axis=-1)[..., -1]
+    hits = list(low.hits(0, x[:256], x, np.full(256, 1.2), 9))
+    assert low.fits and {(a, b) for i, j, _ in hits for a, b in zip(i.tolist(), j.tolist())} >= set(zip(*map(np.ndarray.tolist, np.nonzero(d[:256] <= 1.2)), strict=True))
+
+
+def test_others_among_many_copies(spark):
+    """More copies than neighbours, far from the origin and near it, in single precision; a query's own id is no answer."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(0, 1, (3, 6)), 14, axis=0), 1e4 + rng.integers(0, 3, (60, 6)) / 64, rng.normal(0, 1, (40, 6))]).astype(np.float32)
+    df = table(spark, x, "float")
+    d = np.cumsum((x[:, None].astype(float) - x[None]) ** 2, axis=-1)[..., -1]
+    d[np.arange(len(x)), np.arange(len(x))] = np.inf
+    near = exact.blocked_knn(df.select(F.col("id").alias("qid"), F.col("vec").alias("qv")), df, 8, block=16, others=True).collect()
+    assert {(r.qid, r["rank"], r.id) for r in near} == {(a, n + 1, int(b)) for a in range(len(x)) for n, b in enumerate(np.lexsort((np.arange(len(x)), d[a]))[:8])}
