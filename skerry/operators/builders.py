@@ -67,12 +67,13 @@ def descent(x: np.ndarray, k: int = 32, trees: int = 4, leaf: int = 100, alpha:
     """Nearest-neighbour descent from tree leaves, then reverse edges and pruning."""
     n = len(x)
     best: list[dict[int, float]] = [{} for _ in range(n)]
-    for t in range(trees):
+    trim = lambda b: dict(sorted(b.items(), key=lambda t: (t[1], t[0]))[:k])
+    for t in range(trees):  # a row holds its k nearest so far and one leaf
         for own in cluster_leaves(x, leaf, seed * 1000 + t, metric):
             for i in own.tolist():
-                best[i].update((int(j), float(d)) for j, d in zip(own, distances(metric, x[i], x[own]), strict=True) if j != i)
-    trim = lambda b: dict(sorted(b.items(), key=lambda t: (t[1], t[0]))[:k])
-    best = [trim(b) for b in best]
+                d = distances(metric, x[i], x[own])
+                few = np.lexsort((own, d))[: k + 1]
+                best[i] = trim(best[i] | dict((j, a) for j, a in zip(own[few].tolist(), d[few].tolist(), strict=True) if j != i))
     fresh = [True] * n
     for _ in range(max(10, int(np.log2(max(x.shape[1], 2))))):
         near: list[set] = [set(b) for b in best]

@@ -77,3 +77,17 @@ def test_beams_are_not_sorted_at_each_visit():
         front, visited, _ = kernels.beam_search(graph, x, x[0], [0], beam)
         assert [i for _, i in front] == [i for _, i in known] and {i for _, i in visited} == done
     assert len(front) == 40
+
+
+def test_descent_holds_few_neighbours_a_row():
+    """Not those of all trees' leaves at once."""
+    import tracemalloc
+
+    x = np.random.default_rng(7).normal(size=(400, 4))
+    peaks = []
+    for trees in (1, 12):
+        tracemalloc.start()
+        builders.descent(x, 4, trees, 100, delta=1.0)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
