@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-from skerry.operators.kernels import beam_search, cluster_leaves, distances, robust_prune, select_diverse, spanning_edges
+from skerry.operators.kernels import FEW, beam_search, beam_searches, cluster_leaves, distances, padded, robust_prune, select_diverse, spanning_edges
 
 
 def _batches(n: int) -> list[tuple[int, int]]:
@@ -37,8 +39,9 @@ def vamana(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2,
         for lo, hi in [(0, n)] if single else _batches(n):
             back: dict[int, list[int]] = {}
             new = {}
+            each = _own_searches(graph, x, order, beam, metric) if single and n <= FEW else None
             for p in order[lo:hi].tolist():
-                _, visited, _ = beam_search(graph, x, x[p], [p if single else 0], beam, metric, own=p)
+                visited = next(each) if each else beam_search(graph, x, x[p], [p if single else 0], beam, metric, own=p)[1]
                 old = graph[p]
                 new[p] = robust_prune(p, visited + list(zip(distances(metric, x[p], x[old]).tolist(), old.tolist(), strict=True)), x, a, degree, metric)
             for p, out in new.items():
@@ -53,6 +56,20 @@ def vamana(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2,
     return _sorted_by_distance(graph, x, metric)
 
 
+def _own_searches(graph: list[np.ndarray], x: np.ndarray, rows: np.ndarray, beam: int, metric: str) -> Iterator[list[tuple[float, int]]]:
+    """What the searches for the rows visit that start at themselves, in a graph that stays as it is meanwhile."""
+    lists = padded(graph)
+    for lo in range(0, len(rows), 512):
+        own = rows[lo : lo + 512]
+        d = np.stack([distances(metric, x[p], x) for p in own])
+        if not np.isfinite(d).all():
+            yield from (beam_search(graph, x, x[p], [p], beam, metric, own=p)[1] for p in own.tolist())
+            continue
+        for a, o, s in zip(d, *beam_searches(lists, d, own, beam, own=own)):
+            at = o[s == 2]
+            yield list(zip(a[at].tolist(), at.tolist()))
+
+
 def hcnng(x: np.ndarray, trees: int = 10, leaf: int = 100, mst_degree: int = 3, metric: str = "l2sq", seed: int = 0) -> list[np.ndarray]:
     """The union over random cluster trees of spanning forests of the leaves."""
     out: list[set] = [set() for _ in range(len(x))]

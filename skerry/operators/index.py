@@ -164,8 +164,9 @@ class Index:
         coders = tuple(Coder(**c | {"numbers": tuple(c["numbers"])}) for c in json.loads(about["coders"] or "[]"))
         return Index(spark.read.parquet(f"{path}/shards"), BuildParams(**json.loads(about["params"])), coders)
 
-    def _each(self, queries: DataFrame, schema: str, use) -> DataFrame:
-        """The columns of use(ids, x, levels, graph, qid, q) for every shard and query; levels: x in each coder's codes. Queries travel in blocks of as many rows as a shard
+    def _each(self, queries: DataFrame, schema: str, use, many=None) -> DataFrame:
+        """The columns of use(ids, x, levels, graph, qid, q) for every shard and query; levels: x in each coder's codes. many
+        does the same for some hundred queries at once, or returns None. Queries travel in blocks of as many rows as a shard
         has, so that a shard is sent to Python about as often as the queries are."""
         block, metric, coders = max(512, self.params.shard), self.params.metric, self.coders
         if self.params.normalise:
@@ -186,7 +187,8 @@ class Index:
                     if held[0] != row.shard:
                         held = (row.shard, unpacked(row.graph, x, metric), [c.encode(x) for c in coders])
                     for lo in range(0, len(qid), 512):
-                        found = [use(ids, x, held[2], held[1], int(i), q) for i, q in zip(qid[lo : lo + 512], qs[lo : lo + 512], strict=True)]
+                        told = many(ids, x, held[2], held[1], qid[lo : lo + 512], qs[lo : lo + 512]) if many else None
+                        found = [told] if told else [use(ids, x, held[2], held[1], int(i), q) for i, q in zip(qid[lo : lo + 512], qs[lo : lo + 512], strict=True)]
                         yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
 
         return self.shards.crossJoin(queries.select("qid", "qv").mapInPandas(blocks, "qids binary, qvs binary")).mapInPandas(run, schema)
@@ -219,7 +221,21 @@ class Index:
             same = lambda v: np.full(len(own), v, np.int64)
             return {"qid": same(qid), "id": ids[own], "dist": dist, "n_visited": same(n_visited), "n_cmps": same(cost)}
 
-        return top_k(self._each(queries, "qid long, id long, dist double, n_visited long, n_cmps long", use), k)
+        def many(ids, x, levels, graph, qid, qs):
+            if isinstance(graph, builders.Hnsw) or len(coders) > 1 or len(x) > kernels.FEW:
+                return None
+            points, asked, measure = (levels[0], coders[0].encode(qs), coders[0].measure) if coders else (x, qs, metric)
+            d = np.stack([kernels.distances(measure, q, points) for q in asked])
+            if not np.isfinite(d).all():
+                return None
+            start = (qid * 2654435761 + 40503) % 2147483647 % len(ids) if random_start else np.zeros(len(qid), np.int64)
+            order, state = kernels.beam_searches(kernels.padded(graph, degree), d, start, beam, limit)
+            seen = state > 0
+            i, j = np.nonzero(seen & (np.cumsum(seen, axis=1) <= min(beam, k * rerank)))
+            own = order[i, j]
+            return {"qid": qid[i], "id": ids[own], "dist": _exact(qs[i], x[own], metric), "n_visited": (state == 2).sum(axis=1)[i], "n_cmps": seen.sum(axis=1)[i]}
+
+        return top_k(self._each(queries, "qid long, id long, dist double, n_visited long, n_cmps long", use, many), k)
 
     def search_one(self, vector: list[float], k: int = 10, beam: int = 64, **more) -> list[int]:
         """The ids nearest to one vector, nearest first."""

@@ -11,6 +11,9 @@ from collections.abc import Callable
 
 import numpy as np
 
+#: Up to so many rows beam_searches() may be used: a search compares most of them anyway.
+FEW = 1024
+
 
 def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if metric == "mips":
@@ -72,6 +75,49 @@ def beam_search(graph: list[np.ndarray], x: np.ndarray, q: np.ndarray, starts: l
     return front, sorted(visited), cost
 
 
+def beam_searches(graph: np.ndarray, d: np.ndarray, starts: np.ndarray, beam: int, limit: int | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """beam_search() of many queries in step, over few rows whose distances are all known. graph: a row's neighbours, filled
+    up with -1; d: query by row; starts: a row for each query; own: rows that are never returned.
+
+    For each query the rows in the order (distance, number), and what became of each: 2 visited, 1 compared, 0 not.
+    The frontier is the first beam of those above 0. Equal distances go by number in all places.
+    """
+    m, n = d.shape
+    order = np.argsort(d, axis=1, kind="stable")
+    rank = np.empty((m, n), np.int32)
+    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[None, :], axis=1)
+    state = np.zeros((m, n), np.uint8)
+    state[np.arange(m), rank[np.arange(m), starts]] = 1
+    hidden = None if own is None else rank[np.arange(m), own]
+    live = np.arange(m)
+    for step in range(n if limit is None else limit):
+        part = state if len(live) == m else state[live]
+        at = np.argmax(part == 1, axis=1)
+        more = part[np.arange(len(live)), at] == 1
+        if step >= beam:  # before that there aren't so many visited
+            more &= ((part > 0) & (np.arange(n) < at[:, None])).sum(axis=1) < beam
+        live, at = live[more], at[more]
+        if not len(live):
+            break
+        state[live, at] = 2
+        to = graph[order[live, at]]
+        i, j = np.nonzero(to >= 0)
+        i, j = live[i], rank[live[i], to[i, j]]
+        new = state[i, j] == 0
+        if hidden is not None:
+            new &= j != hidden[i]
+        state[i[new], j[new]] = 1
+    return order, state
+
+
+def padded(graph: list[np.ndarray], degree: int | None = None) -> np.ndarray:
+    """The lists of a graph as rows of equal length, filled up with -1."""
+    out = np.full((len(graph), max(1, max((len(g[:degree]) for g in graph), default=0))), -1, np.int64)
+    for row, g in zip(out, graph):
+        row[: len(g[:degree])] = g[:degree]
+    return out
+
+
 def robust_prune(p: int, candidates: list[tuple[float, int]], x: np.ndarray, alpha: float, most: int, metric: str = "l2sq") -> list[int]:
     """Keeps the nearest candidate and drops all that are alpha times nearer to it than to p; and so on."""
     c = sorted({i: d for d, i in candidates if i != p}.items(), key=lambda t: (t[1], t[0]))

@@ -91,3 +91,41 @@ def test_descent_holds_few_neighbours_a_row():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0]
+
+
+def test_searches_in_step_are_those_one_by_one():
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (300, 6))
+    graph = [np.unique(rng.integers(0, 300, rng.integers(1, 9))) for _ in range(300)]
+    q, starts = rng.normal(0, 1, (40, 6)), rng.integers(0, 300, 40)
+    d = np.stack([kernels.distances("l2sq", v, x) for v in q])
+    for beam, limit, degree, own in ((1, None, None, None), (12, None, None, None), (12, 5, 3, None), (400, None, None, None), (30, None, None, starts)):
+        order, state = kernels.beam_searches(kernels.padded(graph, degree), d, starts, beam, limit, own)
+        for n in range(40):
+            front, visited, cost = kernels.beam_search(graph, x, q[n], [int(starts[n])], beam, limit=limit, degree=degree, own=-1 if own is None else int(own[n]))
+            assert order[n][state[n] > 0][:beam].tolist() == [i for _, i in front]
+            assert order[n][state[n] == 2].tolist() == [i for _, i in visited] and (state[n] > 0).sum() == cost
+
+
+def test_many_queries_are_searched_in_step(spark, sf):
+    """A query of a shard of 500 rows costs a fraction of a walk of its own."""
+    from skerry import catalog
+    from skerry.operators import index
+
+    graph = builders.vamana(x := np.random.default_rng(1).normal(size=(500, 64)), 24, 48, single=8)
+    q = np.random.default_rng(2).normal(size=(512, 64))
+    began = time.process_time()
+    kernels.beam_searches(kernels.padded(graph), np.stack([kernels.distances("l2sq", v, x) for v in q]), np.zeros(512, int), 64)
+    in_step, began = time.process_time() - began, time.process_time()
+    for v in q:
+        kernels.beam_search(graph, x, v, [0], 64)
+    assert 2 * in_step < time.process_time() - began
+    built = index.Index.build(catalog.base(spark, sf), index.BuildParams(degree=8, beam=16, shard=200))
+    found = {tuple(r) for r in built.search(catalog.asked(spark, sf), 5, 20).select("qid", "id", "n_visited", "n_cmps").collect()}
+    x, want = {r.id: np.array(r.vec, float) for r in catalog.base(spark, sf).collect()}, set()
+    for row in built.shards.collect():
+        ids, vecs = np.frombuffer(row.ids, np.int64), np.frombuffer(row.vecs).reshape(-1, 64)
+        for qid in (i for i in x if i % 20 == 0):
+            front, visited, cost = kernels.beam_search(index.unpacked(row.graph, vecs, "l2sq"), vecs, x[qid], [0], 20)
+            want |= {(qid, int(ids[i]), len(visited), cost) for _, i in front[:5]}
+    assert len(found) == 5 * len({f[0] for f in found}) and found <= want
