@@ -34,7 +34,7 @@ def levels(edges: DataFrame, start: int) -> DataFrame:
     """vertex, level: breadth-first levels from a vertex, one anti-join a level, until no vertex is new."""
     spark = edges.sparkSession
     seen = front = cut(spark.createDataFrame([(start, 0)], "vertex long, level int"))
-    pairs = edges.select("src", F.col("dst").alias("vertex")).distinct()
+    pairs = cut(edges.select("src", F.col("dst").alias("vertex")).distinct())  # read at each level
     for level in itertools.count(1):
         reached = front.select(F.col("vertex").alias("src")).join(pairs, "src").select("vertex").distinct()
         front = cut(reached.join(seen, "vertex", "left_anti").select("vertex", F.lit(level).alias("level")))
@@ -113,7 +113,7 @@ def flood(edges: DataFrame, allowed: DataFrame, starts: DataFrame) -> DataFrame:
     One join a step, of the frontier only, until it's empty.
     """
     inside = cut(allowed.select("qid", "id").distinct())
-    pairs = edges.select("src", "dst").distinct()
+    pairs = cut(edges.select("src", "dst").distinct())  # read at each step
     seen = front = cut(starts.select("qid", "id").distinct().join(inside, ["qid", "id"], "left_semi"))
     while not front.isEmpty():
         reached = front.select("qid", F.col("id").alias("src")).join(pairs, "src").select("qid", F.col("dst").alias("id")).distinct()

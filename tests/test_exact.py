@@ -124,3 +124,20 @@ def test_others_among_many_copies(spark):
     d[np.arange(len(x)), np.arange(len(x))] = np.inf
     near = exact.blocked_knn(df.select(F.col("id").alias("qid"), F.col("vec").alias("qv")), df, 8, block=16, others=True).collect()
     assert {(r.qid, r["rank"], r.id) for r in near} == {(a, n + 1, int(b)) for a in range(len(x)) for n, b in enumerate(np.lexsort((np.arange(len(x)), d[a]))[:8])}
+
+
+def test_edges_are_made_distinct_once(spark):
+    """And not again at each step of a flood or of the levels."""
+    from skerry.operators import graph
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            calls.add(1)
+            yield batch
+
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long").coalesce(1).mapInArrow(rows, "src long, dst long")
+    everything = spark.createDataFrame([(0, i) for i in range(4)], "qid long, id long")
+    assert graph.flood(edges, everything, everything.where("id = 0")).count() == 4 and calls.value == 1
+    assert graph.levels(edges, 0).count() == 4 and calls.value == 2
